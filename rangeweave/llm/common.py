@@ -59,6 +59,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 _U64 = np.uint64
+#: Bytes hashed at a time.
+_SLICE = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -97,8 +99,14 @@ class Roller:
         return mix64((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each data[start:end] of bytes."""
-        return self.slices(self.prefix(self.table[data]), starts, ends)
+        """64-bit hash of each data[start:end] of bytes; starts and ends ascend. Works in slices of bounded size."""
+        out, k = np.zeros(len(starts), dtype=np.uint64), 0
+        while k < len(starts):
+            m = max(k + 1, int(np.searchsorted(ends, starts[k] + _SLICE, side="right")))
+            low, high = starts[k], ends[m - 1]
+            out[k:m] = self.slices(self.prefix(self.table[data[low:high]]), starts[k:m] - low, ends[k:m] - low)
+            k = m
+        return out
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
         """64-bit hash of every k consecutive words: len(words) - k + 1 of them."""

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeweave.llm import simhash
+from rangeweave.llm import bpe, ppm, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document covered by a repeated window of 20 words."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return bpe.tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model learned from three quarters of them."""
+    return ppm.predictions(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_rlz_substring_dedup": op5_rlz_substring_dedup,
+    "op6_bpe_transducer": op6_bpe_transducer,
+    "op8_ppm_language_id": op8_ppm_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
