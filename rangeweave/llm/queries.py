@@ -5,13 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeweave.llm import bpe, ppm, simhash, substrings
+from rangeweave.llm import bpe, lines, mixing, ppm, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat, nearly, an earlier line of any document."""
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to the target weights takes of every document."""
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document covered by a repeated window of 20 words."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
@@ -33,10 +43,14 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
+    "op4_systematic_mixing": op4_systematic_mixing,
     "op5_rlz_substring_dedup": op5_rlz_substring_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_systematic_mixing": mixing.ORACLE,
+}
