@@ -5,18 +5,28 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeweave.llm import bpe, lines, mixing, ppm, simhash, substrings
+from rangeweave.llm import bpe, lines, media, mixing, pages, ppm, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a capture, read back and assembled."""
+    return warc.captures(_table(spark, sf_dir, "pages"))
+
+
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat, nearly, an earlier line of any document."""
     return lines.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as sound, read back and sniffed."""
+    return media.features(_table(spark, sf_dir, "documents"))
+
+
 def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources to the target weights takes of every document."""
     return mixing.report(_table(spark, sf_dir, "documents"))
@@ -42,13 +52,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_warc_transactions": op1_warc_transactions,
     "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
+    "op3_signature_sniffing": op3_signature_sniffing,
     "op4_systematic_mixing": op4_systematic_mixing,
     "op5_rlz_substring_dedup": op5_rlz_substring_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_template_removal": op10_template_removal,
 }
 
 ORACLES: dict[str, str] = {
