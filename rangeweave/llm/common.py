@@ -43,7 +43,17 @@ def stage(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     schema = df.schema
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@
 Every text is factored against all earlier text of the corpus. The reference is indexed by blocks:
 content-defined runs of BLOCK words, chosen so that any WINDOW consecutive words hold at least one
 block and equal windows hold equal blocks. A text's parse starts at its blocks that occur elsewhere
-too; every window around such a block is looked up and gets the earliest place of its words. From
+too; every window whose least block is one of them is looked up and gets the earliest place of its words. From
 left to right, a factor is extended as long as the next window was seen before, and each window
 that straddles the end of a factor is checked like any other. Factors of at least WINDOW words are
 the duplicate spans.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import Roller, stage, tune, word_spans
+from rangeweave.llm.common import Roller, stage, tune, unstage, word_spans
 
 WINDOW = 20
 BLOCK = 6
@@ -40,6 +40,16 @@ def _words(raw: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
     return raw or b"", data, *word_spans(data)
 
 
+def _sliding(x: np.ndarray, k: int, op) -> np.ndarray:
+    """op (np.minimum or np.maximum) over every k neighbours."""
+    have = 1
+    while have < k:
+        step = min(have, k - have)
+        x = op(x[:-step], x[step:])
+        have += step
+    return x
+
+
 def block_positions(words: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the index blocks of one text, given its word hashes.
 
@@ -49,17 +59,9 @@ def block_positions(words: np.ndarray, window: int = WINDOW, block: int = BLOCK)
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     g, w = _PLACE.grams(words, block), window - block + 1
 
-    def sliding(x: np.ndarray, k: int, least: bool) -> np.ndarray:
-        have, op = 1, np.minimum if least else np.maximum
-        while have < k:
-            step = min(have, k - have)
-            x = op(x[:-step], x[step:])
-            have += step
-        return x
-
-    low = sliding(g, w, True)  # of each window
+    low = _sliding(g, w, np.minimum)  # of each window
     pad = np.zeros(w - 1, dtype=np.uint64)
-    chosen = sliding(np.concatenate([pad, low, pad]), w, False) == g
+    chosen = _sliding(np.concatenate([pad, low, pad]), w, np.maximum) == g
     at = np.flatnonzero(chosen)
     return at, g[at]
 
@@ -88,21 +90,18 @@ def _index(docs: DataFrame, id_col: str, text_col: str, window: int, block: int)
 
 
 def _windows(texts: DataFrame, kind: str, window: int, block: int) -> DataFrame:
-    """Rows (h1, h2, id, at) of every window that holds a repeated block. texts: (id, text, places, ordinal)."""
+    """Rows (h1, h2, id, at) of every window whose least block is repeated. texts: (id, text, places, ordinal)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ats, first, second, ordinals = [], [], [], [], b.column(3).to_pylist()
             for k, (raw, places) in enumerate(zip(pc.cast(b.column(1), pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 _, data, starts, ends = _words(raw)
-                last = len(starts) - window
-                cover = np.zeros(last + 2, dtype=np.int32)
-                p = np.asarray(places, dtype=np.int64)
-                np.add.at(cover, np.clip(p - (window - block), 0, last + 1), 1)
-                np.add.at(cover, np.minimum(p, last) + 1, -1)
-                at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+                words = _FIRST.words(data, starts, ends)
+                g = _PLACE.grams(words, block)
+                at = np.flatnonzero(np.isin(_sliding(g, window - block + 1, np.minimum), g[np.asarray(places)]))
                 base = np.int64(ordinals[k]) << _ORDINAL
-                pa_, pb = (r.prefix(r.words(data, starts, ends)) for r in (_FIRST, _SECOND))
+                pa_, pb = _FIRST.prefix(words), _SECOND.prefix(_SECOND.words(data, starts, ends))
                 first.append(_FIRST.slices(pa_, at, at + window))
                 second.append(_SECOND.slices(pb, at, at + window))
                 ats.append(at + base)
@@ -152,8 +151,10 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Rows that repeat an id and its text are one text: a block counts once per (id, tag, place).
     marks = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("id", "tag", "p")).alias("x"), F.max(F.xxhash64("id", "tag", "p")).alias("y"))
     again = stage(marks.where("c > 1 and x <> y").select("h"))
+    unstage(least)
     hits = blocks.join(again, "h").groupBy("id", "tag").agg(F.sort_array(F.collect_set("p")).alias("places"))
     hits = stage(hits.withColumn("ordinal", F.row_number().over(W.partitionBy("id").orderBy("tag")) - 1))
+    unstage(index, again)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = source.join(hits.withColumnRenamed("id", "i").withColumnRenamed("tag", "t"), F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")))
     windows = stage(_windows(found.select("id", "text", "places", "ordinal"), kind, window, block))
@@ -166,7 +167,9 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spans = later.groupBy(F.col("id").alias("i"), ordinal).agg(F.sort_array(F.collect_set(F.struct(word, F.col("least.id").alias("source"), F.col("least.at").alias("place")))).alias("seen"))
     tags = hits.select("id", "tag", "ordinal")
     spans = tags.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("ordinal") == F.col("o"))).select("id", "tag", "seen")
-    return texts, stage(spans)
+    spans = stage(spans)
+    unstage(windows, seen, hits)
+    return texts, spans
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
