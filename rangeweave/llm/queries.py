@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeweave.llm import bpe, lines, media, mixing, pages, ppm, simhash, substrings, warc
+from rangeweave.llm import bpe, lines, media, mixing, pages, ppm, simhash, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model learned from three quarters of them."""
     return ppm.predictions(_table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_systematic_mixing": op4_systematic_mixing,
     "op5_rlz_substring_dedup": op5_rlz_substring_dedup,
     "op6_bpe_transducer": op6_bpe_transducer,
+    "op7_collision_counting": op7_collision_counting,
     "op8_ppm_language_id": op8_ppm_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_template_removal": op10_template_removal,

@@ -266,8 +266,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """docs with one document of each near-duplicate group: the one of the smallest id.
 
-    Of rows that repeat that id, one stays. Rows of null id in a group without any other id stay.
+    Of rows that repeat that id, one stays. Rows without an id stay, as nothing can name them.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, tau=tau)
-    ids = kept.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.dropDuplicates([id_col]).join(ids, id_col, "left_semi")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, tau=tau)
+    ids = stage(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("c")))
+    once = docs.join(ids.where("c = 1").select(id_col), id_col, "left_semi")
+    more = docs.join(ids.where("c > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
