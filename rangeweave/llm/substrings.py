@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ BLOCK = 6
 #: A window's place is its first word plus the text's ordinal, among the texts of one id, times this power of two.
 _ORDINAL = 32
 
+#: Hash ranges that windows are looked up in, one after the other.
+PARTS = 4
+
 _FIRST, _SECOND, _PLACE = Roller(11), Roller(12), Roller(13)
 
 
@@ -147,28 +151,36 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     copies = texts.where("copy").select("id", "tag").distinct()
     own = index.where(F.size("hashes") > 0).select("id", "tag", F.arrays_zip("hashes", "places").alias("z"))
     own = own.join(copies, own["id"].eqNullSafe(copies["id"]) & (own["tag"] == copies["tag"]), "left_anti")
+    own = stage(own.select("id", "tag", "z"))
+    unstage(index, least)
     blocks = own.select("id", "tag", F.explode("z").alias("z")).select("id", "tag", F.col("z.hashes").alias("h"), F.col("z.places").alias("p"))
     # Rows that repeat an id and its text are one text: a block counts once per (id, tag, place).
-    marks = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("id", "tag", "p")).alias("x"), F.max(F.xxhash64("id", "tag", "p")).alias("y"))
-    again = stage(marks.where("c > 1 and x <> y").select("h"))
-    unstage(least)
+    mark = F.xxhash64("id", "tag", "p")
+    again = stage(blocks.groupBy("h").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("h"))
     hits = blocks.join(again, "h").groupBy("id", "tag").agg(F.sort_array(F.collect_set("p")).alias("places"))
     hits = stage(hits.withColumn("ordinal", F.row_number().over(W.partitionBy("id").orderBy("tag")) - 1))
-    unstage(index, again)
+    unstage(own, again)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = source.join(hits.withColumnRenamed("id", "i").withColumnRenamed("tag", "t"), F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")))
-    windows = stage(_windows(found.select("id", "text", "places", "ordinal"), kind, window, block))
+    windows = _windows(found.select("id", "text", "places", "ordinal"), kind, window, block)
+    windows = stage(windows.withColumn("part", F.pmod("h1", F.lit(PARTS)).cast("int")), partition_by="part")
     key = F.struct(F.col("id").isNull().alias("void"), "id", "at")
-    seen = windows.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    seen = stage(seen.select("h1", "h2", "least"))
-    later = windows.join(seen, ["h1", "h2"]).where(key > F.col("least"))
+    parts = []
+    for k in range(PARTS):  # all windows, a hash range at a time, to bound what lies on disk at once
+        own = windows.where(F.col("part") == k).select("h1", "h2", "id", "at")
+        seen = stage(own.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2", "least"))
+        later = own.join(seen, ["h1", "h2"]).where(key > F.col("least"))
+        parts.append(stage(later.select("id", "at", F.col("least.id").alias("source"), F.col("least.at").alias("place"))))
+        unstage(seen)
+    unstage(windows)
+    later = reduce(DataFrame.unionByName, parts)
     ordinal = F.shiftright("at", _ORDINAL).cast("int").alias("o")
     word = F.col("at").bitwiseAND(F.lit((1 << _ORDINAL) - 1)).cast("int").alias("at")
-    spans = later.groupBy(F.col("id").alias("i"), ordinal).agg(F.sort_array(F.collect_set(F.struct(word, F.col("least.id").alias("source"), F.col("least.at").alias("place")))).alias("seen"))
+    spans = later.groupBy(F.col("id").alias("i"), ordinal).agg(F.sort_array(F.collect_set(F.struct(word, "source", "place"))).alias("seen"))
     tags = hits.select("id", "tag", "ordinal")
     spans = tags.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("ordinal") == F.col("o"))).select("id", "tag", "seen")
     spans = stage(spans)
-    unstage(windows, seen, hits)
+    unstage(hits, *parts)
     return texts, spans
 
 
@@ -189,7 +201,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone, digests, kept, counts = [], [], [], []
+            sizes, gone, digests, kept, counts = [], [], [], [], []
             for raw, seen in zip(pc.cast(b.column(2), pa.binary()).to_pylist(), b.column(3), strict=True):
                 words = raw.split()
                 at, source, place = (seen.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -198,26 +210,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 for start, n, _ in parsed:
                     out[start : start + n] = True
                 left = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])
+                sizes.append(len(words))
                 gone.append(int(out.sum()))
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "replace"))
                 counts.append(len(parsed))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), pa.array(counts, pa.int64())],
-                names=["i", "t", "gone", "left_digest", "kept", "n_factors"],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), pa.array(counts, pa.int64())],
+                names=["i", "n_words", "n_removed", "kept_sha256", "kept", "n_factors"],
             )
 
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("text is not null").dropDuplicates(["id", "tag"])
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     s = spans.select(F.col("id").alias("i"), F.col("tag").alias("t"), "seen")
     cut = source.join(s, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("id", "tag", "text", "seen")
-    cut = stage(cut.mapInArrow(run, f"i {kind}, t long, gone long, left_digest string, kept string, n_factors long"))
-    rows = texts.join(cut, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left")
-    whole = F.col("copy") & (F.col("n_words") >= window)
-    return rows.select(
-        F.col("id").alias(id_col),
+    cut = cut.mapInArrow(run, f"i {kind}, n_words long, n_removed long, kept_sha256 string, kept string, n_factors long")
+    # Texts without such spans are whole, or copies of a text of a smaller id and gone.
+    rest = texts.join(s.select("i", "t"), F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left_anti")
+    gone = F.col("copy") & (F.col("n_words") >= window)
+    rest = rest.select(
+        F.col("id").alias("i"),
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_digest", "digest")).alias("kept_sha256"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_factors", F.lit(0).cast("long"))).alias("n_factors"),
-        F.when(~whole, F.col("kept")).alias("kept"),
+        F.when(gone, F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("digest")).alias("kept_sha256"),
+        F.lit(None).cast("string").alias("kept"),
+        F.when(gone, 1).otherwise(0).cast("long").alias("n_factors"),
     )
+    return rest.unionByName(cut).withColumnRenamed("i", id_col)
