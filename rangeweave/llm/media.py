@@ -186,15 +186,16 @@ def _flac(d: bytes, i: int) -> int:
 
 def _mp4(d: bytes, i: int) -> int:
     """The magic number is the kind of the first box, after its size."""
-    at = i
+    at, seen = i, set()
     while at + 8 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, at)
         if size == 1 and at + 16 <= len(d):
             size = struct.unpack_from(">Q", d, at + 8)[0]
         if size < 8 or at + size > len(d) or not kind.isalnum():
             break
+        seen.add(kind)
         at += size
-    return at - i if at > i + 8 else 0
+    return at - i if seen & {b"moov", b"moof", b"mdat"} else 0
 
 
 #: Name, media type, magic number, where the value begins before it, validator.

@@ -31,6 +31,8 @@ SEED = 42
 BLOCK = 1000
 #: Costs of a bucket row, a compared pair and one more kind of key in the plan, for choosing the parts.
 ROW_COST, PAIR_COST, KEY_COST = 400.0, 1.0, 1e8
+#: Kinds of keys of one part; a plan of thousands could not be compiled.
+MOST_KEYS = 600
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -131,6 +133,8 @@ def allocate(n: int, both: np.ndarray, tau: int = TAU) -> list[tuple[list[int],
             for s, (cost, ts) in table.items():
                 for t in range(-1, tau + 1):
                     keys = comb(len(bits), t) if t >= 0 else 0
+                    if keys > MOST_KEYS:
+                        continue
                     own = keys * (n * ROW_COST + KEY_COST) + (share[t] * n * n / 2 * PAIR_COST * (comb(len(bits), t) ** 0.5) if t >= 0 else 0)
                     if s + t - (len(groups) - 1 - k) <= want and (s + t not in new or cost + own < new[s + t][0]):
                         new[s + t] = (cost + own, [*ts, t])
