@@ -46,10 +46,20 @@ def topk(queries: DataFrame, entries: DataFrame, k: int | None, dim: int, *, on:
     return ranked(pairs, k, group=[*on, query], entry=entry)
 
 
-def topk_blocked(queries: DataFrame, entries: DataFrame, k: int, *, on: str, query: str, entry: str, emb: str = "emb", rows: int = 2048) -> DataFrame:
-    """Exact top k of (on, query, emb) among (on, entry, emb) in blocks of `rows`: (on, query, entry, score, rank)."""
-    part = lambda df, key, name: df.groupBy(on, F.floor(F.col(key) / rows).alias(f"{name}_b")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(emb).alias("v"))).alias(name))
-    pairs = part(queries, query, "q").join(part(entries, entry, "e"), on).select(on, "q", "e")
+def topk_blocked(queries: DataFrame, entries: DataFrame, k: int | None, *, on: str, query: str, entry: str, emb: str = "emb", rows: int = 2048) -> DataFrame:
+    """Exact top k of (on, query, emb) among (on, entry, emb) in blocks of `rows`: (on, query, entry, score, rank).
+
+    Every block of entries is a group of its own, to which all query blocks of its signal come, so
+    the work spreads over as many tasks as there are blocks. k None: all entries, ranked.
+    """
+
+    def block(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.groupBy(on, F.floor(F.col(key) / rows).alias(f"{name}_b")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(emb).alias("v"))).alias(name))
+
+    right = block(entries, entry, "e")
+    homes = entries.select(on, F.floor(F.col(entry) / rows).alias("e_b")).distinct()
+    left = block(queries, query, "q").join(homes, on)
+    pairs = left.join(right, [on, "e_b"]).select(on, "q", "e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
