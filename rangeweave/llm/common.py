@@ -42,6 +42,7 @@ def stage(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     schema = df.schema
+    del df, writer
     release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
@@ -57,7 +58,11 @@ def unstage(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that no live plan refers to."""
+    """Let Spark's cleaner drop shuffle files that no live plan refers to.
+
+    The scheduler may still hold the job that ran last, so an empty one takes its place first.
+    """
+    spark.range(1, numPartitions=1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

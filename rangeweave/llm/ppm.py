@@ -173,8 +173,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     size = F.octet_length(text_col)
     pool = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & size.between(1, TRAIN_BYTES))
     pool = pool.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit(3)).alias("h"), F.col(text_col).alias("text"))
-    # Ranks run over hashes alone; the few texts are read in a second, filtered scan.
-    best = pool.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
+    # Ranks run over distinct hashes alone, so copies of a text count once; the few texts are read in
+    # a second, filtered scan.
+    best = pool.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
     most = {r["lang"]: r["h"] for r in best.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not most:
         return Model({}, order)

@@ -159,7 +159,7 @@ def probe_masks(plan: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
 
 
 def blocks(keyed: DataFrame, key: str = "key", block: int = BLOCK) -> DataFrame:
-    """keyed rows (key, item) of keys that occur twice or more, as (g, item) rows of bounded groups.
+    """keyed rows (key, item, ..) of keys that occur twice or more, as (g, item, ..) rows of bounded groups.
 
     A bucket of c rows is dealt into ceil(c / block) blocks by a hash of the item, and every pair
     of blocks becomes one group g: any two items of a bucket meet in some group, and no group
@@ -169,7 +169,7 @@ def blocks(keyed: DataFrame, key: str = "key", block: int = BLOCK) -> DataFrame:
     n = F.ceil(F.col("c") / block).cast("int")
     rows = keyed.join(sizes, key).withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("item", F.lit(7)), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
-    return rows.select(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("g"), "item")
+    return rows.select(F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("g"), *[c for c in keyed.columns if c != key])
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
