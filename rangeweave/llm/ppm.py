@@ -79,6 +79,8 @@ class Model:
                     for key, n in zip(*map(np.ndarray.tolist, np.unique(keys, return_counts=True)), strict=True):
                         counts[x][k][key] += n
         self.grams, self.escapes = [], []
+        if not self.langs:  # nothing learned: no text is looked up
+            return
         lower: dict[int, np.ndarray] = {}
         for k in range(order + 1):
             seen = sorted(set().union(*(c[k] for c in counts)))
