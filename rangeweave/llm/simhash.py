@@ -272,7 +272,11 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Of rows that repeat that id, one stays. Rows without an id stay, as nothing can name them.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, tau=tau)
+    return one_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, tau=tau), id_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs whose id names its component in found (id_col, component_id), once each, and those without an id."""
     ids = stage(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("c")))
     once = docs.join(ids.where("c = 1").select(id_col), id_col, "left_semi")
     more = docs.join(ids.where("c > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])

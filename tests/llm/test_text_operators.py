@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ from conftest import DATA, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rangeweave.llm import bpe, common, lines, mixing, ppm, queries, simhash, substrings
+from rangeweave.llm import bpe, common, lines, mixing, ppm, queries, shingles, simhash, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -189,6 +190,40 @@ def test_representatives_keep_one_of_each_group_and_rows_without_an_id(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+# --- shingles --------------------------------------------------------------------------------
+
+
+def brute_shingles(text, k=5):
+    words = "".join(c.lower() if c < "\x80" else c for c in text or "").split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_pipeline_near_dedup_equals_brute_force_jaccard(spark):
+    rng = random.Random(13)
+    texts = ["", None, " \n", "one", "One", "two words"]
+    for _ in range(40):
+        words = sentence(rng, 120).split()
+        texts.append(" ".join(words))
+        for n in (1, 2, 3, 4, 8):  # similarity of about 0.92, 0.84, 0.77, 0.71, 0.5
+            copy = list(words)
+            for at in rng.sample(range(120), n):
+                copy[at] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    sets = [brute_shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    for _ in range(6):
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    docs = documents(spark, texts)
+    got = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert {r["doc_id"] for r in got.collect()} == set(least)
+    assert len(set(least)) < len({simhash.fingerprint((t or "").encode()) for t in texts})
+    assert shingles.representatives(documents(spark, [])).count() == 0
+
+
 # --- lines -----------------------------------------------------------------------------------
 
 
