@@ -270,6 +270,31 @@ def test_lines_unlike_ones_stay_and_groups_connect(spark):
     assert {r["doc_id"] for r in kept.collect()} == {0, *range(6, 26)}
 
 
+def test_real_lines_near_copies_are_found_as_by_brute_force(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    norms = sorted({n for t in texts for x in t.split("\n") if len(n := re.sub(r"[\W_]+", " ", x.lower()).strip()) >= 20 and n.count(" ") >= 4})
+    rng = random.Random(14)
+    base = rng.sample([n for n in norms if n.count(" ") >= 9], 150)
+    for x in base:  # a tenth and a sixth of the words replaced by ones of the same length
+        for part in (10, 6):
+            words = x.split()
+            for at in rng.sample(range(len(words)), max(1, len(words) // part)):
+                words[at] = "".join(rng.choice("bcdfgh") for _ in words[at])
+            norms.append(" ".join(words))
+    norms = sorted(set(norms))
+    grams = [{x[i : i + 3] for i in range(len(x) - 2)} for x in norms]
+    near = [(a, b) for a in range(len(norms)) for b in range(a) if 0.8 * max(len(norms[a]), len(norms[b])) <= min(len(norms[a]), len(norms[b])) and len(grams[a] & grams[b]) >= 0.2 * len(grams[a]) and lines.alike(norms[a], norms[b])]
+    root = list(range(len(norms)))
+    for _ in range(6):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(near) > 250
+    got = {r["doc_id"] for r in lines.report(documents(spark, norms)).where("n_removed = 1").collect()}
+    want = {i for i, x in enumerate(root) if x != i}
+    assert got <= want
+    assert len(got) >= 0.98 * len(want)
+
+
 def test_lines_repeated_ids_and_nothing(spark):
     rng = random.Random(10)
     a = sentence(rng, 12)
