@@ -295,6 +295,16 @@ def test_real_lines_near_copies_are_found_as_by_brute_force(spark):
     assert len(got) >= 0.98 * len(want)
 
 
+def test_query_and_pipeline_take_short_lines(spark, tmp_path):
+    texts = ["All rights reserved\n\nalpha\n----", "all rights reserved.\nalpha\n\n----\n====", "all rightz reserved\n東京都千代田区丸の内一丁目九番地", "東京都千代田区丸の内一丁目八番地\nbeta"]
+    docs = documents(spark, texts, extra=False)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op2_fuzzy_line_dedup(spark, str(tmp_path)), "n_lines", "n_removed")
+    assert got == {0: [(4, 0)], 1: [(5, 3)], 2: [(2, 1)], 3: [(2, 1)]}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert kept == {0: texts[0], 1: "\n====", 2: "東京都千代田区丸の内一丁目九番地", 3: "beta"}
+
+
 def test_lines_repeated_ids_and_nothing(spark):
     rng = random.Random(10)
     a = sentence(rng, 12)
