@@ -180,12 +180,23 @@ def energy_prune(spark, sf_dir):
     return rows.select("sid", "rid", F.round(vec.energy("r", P.R), 6).alias("energy"))
 
 
+def _bounds(spark, sf_dir, entries: DataFrame) -> DataFrame:
+    both = user_ranges(spark, sf_dir).join(entries.select("sid", "dom", "tile"), "sid")
+    bound = vec.correlation_bound(F.col("rc"), F.col("tc"), P.R)
+    rows = both.select("sid", "rid", "dom", vec.centred("r", P.R).alias("rc"), vec.centred("tile", P.R).alias("tc"))
+    return rows.select("sid", "rid", "dom", F.round(bound, 6).alias("bound"))
+
+
 @query
 def correlation_bound(spark, sf_dir):
-    both = user_ranges(spark, sf_dir).join(user_domains(spark, sf_dir).where("dom = 0").select("sid", "tile"), "sid")
-    bound = vec.correlation_bound(F.col("rc"), F.col("tc"), P.R)
-    rows = both.select("sid", "rid", vec.centred("r", P.R).alias("rc"), vec.centred("tile", P.R).alias("tc"))
-    return rows.select("sid", "rid", F.round(bound, 6).alias("bound"))
+    """The bound of every range with the first domain; correlation_bounds has all domains."""
+    return _bounds(spark, sf_dir, user_domains(spark, sf_dir).where("dom = 0")).drop("dom")
+
+
+@query
+def correlation_bounds(spark, sf_dir):
+    """The bound of every range with every domain of its signal."""
+    return _bounds(spark, sf_dir, user_domains(spark, sf_dir))
 
 
 # --- search ----------------------------------------------------------------------------------

@@ -162,6 +162,7 @@ SQL = {
     "embed_multihead": _with(U, N, DOMAINS, DEMB, out=_flat("demb", "emb", "sid, dom", 16)),
     "energy_prune": _with(*BASE, out="SELECT sid, rid, round(list_sum(list_transform(r, lambda a: a * a)), 6) AS energy FROM ranges WHERE list_sum(list_transform(r, lambda a: a * a)) / 4 >= 0.75 * 2000"),
     "correlation_bound": _with(*BASE, DOMAINS, f"c AS (SELECT a.sid, a.rid, a.r, d.tile AS t FROM ranges a JOIN domains d ON a.sid = d.sid AND d.dom = 0), c1 AS (SELECT *, {_MR} AS mr, {_MT} AS mt FROM c), c2 AS (SELECT *, {_NUM} AS num, sqrt({_DEN}) AS td, sqrt({_DEN.replace('t[', 'r[').replace('mt', 'mr')}) AS rd FROM c1)", out="SELECT sid, rid, round(CASE WHEN td < 1e-12 OR rd < 1e-12 THEN 0.0 ELSE abs(num) / (rd * td) END, 6) AS bound FROM c2"),
+    "correlation_bounds": _with(*BASE, DOMAINS, f"c AS (SELECT a.sid, a.rid, d.dom, a.r, d.tile AS t FROM ranges a JOIN domains d ON a.sid = d.sid), c1 AS (SELECT *, {_MR} AS mr, {_MT} AS mt FROM c), c2 AS (SELECT *, {_NUM} AS num, sqrt({_DEN}) AS td, sqrt({_DEN.replace('t[', 'r[').replace('mt', 'mr')}) AS rd FROM c1)", out="SELECT sid, rid, dom, round(CASE WHEN td < 1e-12 OR rd < 1e-12 THEN 0.0 ELSE abs(num) / (rd * td) END, 6) AS bound FROM c2"),
     "topk_vectors": _with(_EMBV, out=f"SELECT q, rank, vec_id, round(score, 6) AS score FROM (SELECT q.vec_id AS q, d.vec_id, {_VSCORE} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_VSCORE} DESC, d.vec_id) - 1 AS INTEGER) AS rank FROM v q, v d WHERE q.vec_id % 100 = 0) WHERE rank < 5"),
     "all_pairs_ranked": _with(_EMBV, out=f"SELECT q.vec_id AS q, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_VSCORE} DESC, d.vec_id) - 1 AS INTEGER) AS rank, d.vec_id, round({_VSCORE}, 6) AS score FROM v q, v d WHERE q.vec_id % 100 = 0"),
     "topk_range_domain": _with(*SEARCH, out="SELECT sid, rid, rank, dom, round(score, 6) AS score FROM top"),

@@ -31,3 +31,12 @@ def test_entry_imports_and_runs(spark):
 
     assert set(catalog.QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_correlation_bounds_cover_every_range_and_domain(spark):
+    want = catalog.user_ranges(spark, DATA).select("sid", "rid").join(catalog.user_domains(spark, DATA).select("sid", "dom"), "sid")
+    got = catalog.QUERIES["correlation_bounds"](spark, DATA)
+    assert got.where("dom > 0").count() > 0
+    assert got.count() == want.count() == got.select("sid", "rid", "dom").distinct().count()
+    first = got.where("dom = 0").drop("dom").toPandas()
+    assert rows_of(first) == rows_of(catalog.QUERIES["correlation_bound"](spark, DATA).toPandas())
