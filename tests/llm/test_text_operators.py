@@ -245,6 +245,14 @@ def test_distance_equals_the_table():
         assert lines.distance(a, b, 3) == min(d, 4) or lines.distance(a, b, 3) == 4
 
 
+def test_long_lines_are_compared_by_characters_too():
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(1000)]
+    other = [f"{w[:4]}z{w[5:]}" if k % 3 == 0 else w for k, w in enumerate(words)]
+    assert lines.alike(" ".join(words[:100]), " ".join(other[:100]))
+    assert lines.alike(" ".join(words), " ".join(other))
+
+
 def test_lines_near_copies_go_and_first_ones_stay(spark):
     rng = random.Random(7)
     long = [f"Sentence{k} {sentence(rng, 36, 5000)}" for k in range(12)]
