@@ -3,7 +3,7 @@
 exact: an equi-join on the signal and a ranked window, for many short signals; the rank limit is
 applied before and after the shuffle. blocked: blocks of queries against blocks of entries as
 matrix products, for few long signals. lsh: random projections find candidates, exact ranking
-follows, and queries without a candidate are searched exactly.
+follows, and queries with fewer than k candidates are searched exactly.
 
 Scores are compared at SCORE_DIGITS decimals, equal ones by the entry's number, so that a rank does
 not hang on the last bit of a sum.
@@ -90,7 +90,7 @@ def lsh_index(entries: DataFrame, *, emb: str = "emb", bucket: float = 0.5, tabl
 def topk_lsh(queries: DataFrame, entries: DataFrame, k: int, dim: int, *, query: str, entry: str, emb: str = "emb", radius: float = 1.2, **index) -> DataFrame:
     """Top k among the entries within `radius` of a query that the index finds: (query, entry, score, rank).
 
-    Queries for which it finds none are ranked against all entries.
+    Queries for which it finds fewer than k are ranked against all entries.
     """
     from pyspark.ml.functions import array_to_vector
 
@@ -100,6 +100,7 @@ def topk_lsh(queries: DataFrame, entries: DataFrame, k: int, dim: int, *, query:
     near = model.approxSimilarityJoin(left, right, radius, "distance")
     pairs = near.select(F.col(f"datasetA.{query}").alias(query), F.col(f"datasetB.{entry}").alias(entry), F.col("datasetA.__q").alias("__q"), F.col("datasetB.__e").alias("__e"))
     found = pairs.select(query, entry, score("__q", "__e", dim).alias("score"))
-    alone = queries.select(F.col(query), F.col(emb).alias("emb"), F.lit(0).alias("all")).join(found.select(query).distinct(), query, "left_anti")
+    enough = found.groupBy(query).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).select(query)
+    alone = queries.select(F.col(query), F.col(emb).alias("emb"), F.lit(0).alias("all")).join(enough, query, "left_anti")
     rest = topk_blocked(alone, entries.select(F.col(entry), F.col(emb).alias("emb"), F.lit(0).alias("all")), k, on="all", query=query, entry=entry)
-    return ranked(found, k, group=[query], entry=entry).unionByName(rest.select(query, entry, "score", "rank"))
+    return ranked(found.join(enough, query, "left_semi"), k, group=[query], entry=entry).unionByName(rest.select(query, entry, "score", "rank"))

@@ -3,6 +3,7 @@
 import pytest
 from conftest import DATA, rows_of
 
+from rangeweave.operators import search
 from rangeweave.plans import catalog, oracles
 
 
@@ -40,3 +41,12 @@ def test_correlation_bounds_cover_every_range_and_domain(spark):
     assert got.count() == want.count() == got.select("sid", "rid", "dom").distinct().count()
     first = got.where("dom = 0").drop("dom").toPandas()
     assert rows_of(first) == rows_of(catalog.QUERIES["correlation_bound"](spark, DATA).toPandas())
+
+
+def test_topk_lsh_fills_k_rows_and_recalls_the_exact_ones(spark):
+    apart = [(j, [1.0 if i == j else 0.0 for i in range(8)]) for j in range(8)]
+    e = spark.createDataFrame(apart, "e long, emb array<double>")
+    got = search.topk_lsh(e.withColumnRenamed("e", "q"), e, 3, 8, query="q", entry="e").toPandas()
+    assert sorted(got.groupby("q").size()) == [3] * 8
+    pairs = [{(r["q"], r["vec_id"]) for r in catalog.QUERIES[n](spark, DATA).collect()} for n in ("topk_lsh", "topk_vectors")]
+    assert len(pairs[0] & pairs[1]) >= 0.9 * len(pairs[1]), len(pairs[0] & pairs[1]) / len(pairs[1])
