@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 24
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,6 +30,7 @@ def scratch(spark: SparkSession) -> str:
 def tune(spark: SparkSession) -> None:
     """Session settings that bound what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stage(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
