@@ -76,6 +76,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 _U64 = np.uint64
+#: The low bytes of a number, by how many.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Bytes hashed at a time.
 _SLICE = 1 << 20
 
@@ -96,6 +98,7 @@ class Roller:
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
+        self.seed = mix64(np.array([seed], dtype=np.uint64))[0]
         self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
         self.base = int(rng.integers(2**62, 2**63)) | 1
         self.inverse = pow(self.base, -1, 2**64)
@@ -133,6 +136,20 @@ class Roller:
         return self.slices(self.prefix(words), at, at + k)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: Roller) -> np.ndarray:
+    """64-bit hash of each data[start:end]: of the bytes as two numbers where they fit, else by `long`. Starts and ends ascend."""
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), np.uint64, padded, strides=(1,))
+    size = ends - starts
+    out = mix64(eight[starts] & _MASKS[np.minimum(size, 8)] ^ (mix64(np.arange(18, dtype=np.uint64)) ^ long.seed)[np.minimum(size, 17)])
+    more = np.flatnonzero(size > 8)
+    out[more] = mix64(out[more] ^ (eight[starts[more] + 8] & _MASKS[np.minimum(size[more] - 8, 8)]))
+    most = np.flatnonzero(size > 16)
+    if len(most):
+        out[most] = long.words(data, starts[most], ends[most])
+    return out
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in the UTF-8 bytes of one text."""
     ink = np.zeros(len(data) + 2, dtype=np.int8)
