@@ -69,6 +69,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def likely(rows: DataFrame, wanted: DataFrame, column: str, slots: int = 1 << 16) -> DataFrame:
+    """rows whose column (a long with well-mixed bits) may be in wanted (column), by a bitmap of fixed size.
+
+    A filter before a join, to keep rows out of its shuffle: none that is wanted is lost. The bitmap
+    is a table of `slots` rows at most, so it can be broadcast at any size of the input; when it is
+    full it lets everything through.
+    """
+    slot = F.pmod(column, F.lit(slots))
+    spot = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 40) & 63 as int))")
+    bitmap = wanted.select(slot.alias("__slot"), spot.alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__bits"))
+    return rows.withColumn("__slot", slot).join(F.broadcast(bitmap), "__slot").where(spot.bitwiseAND(F.col("__bits")) != 0).select(*rows.columns)
+
+
 # --- words ---------------------------------------------------------------------------------
 
 #: Bytes between words: space and 0x09 to 0x0D.

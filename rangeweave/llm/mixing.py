@@ -104,19 +104,23 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns of docs.
+    """docs with each row as often as the mix takes it; the columns of docs, whatever their names.
 
     Rows that repeat an id with the same source and size get the copies of all of them together.
+    Null texts and texts without a word have size 0 and are taken like any other; null ids and
+    null sources are values of their own. An empty table gives an empty result.
     """
     got = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     counts = got.groupBy("id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0").alias("k")
-    rows = docs.withColumn("__size", word_count(F.col(text_col))).alias("d")
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("k.source")) & (F.col("__size") == F.col("k.size"))
+    own = [F.col(f"`{c}`") for c in (id_col, source_col, text_col)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), own[0].alias("id"), own[1].cast("string").alias("source"), word_count(own[2]).alias("size"), F.xxhash64(own[2]).alias("tag")).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("id", "source", "size")]
     # Each of `rows` equal-keyed rows takes its share of the copies; the remainder goes by rank.
-    rank = F.row_number().over(W.partitionBy(f"d.{id_col}", f"d.{source_col}", "__size").orderBy(F.xxhash64(f"d.{text_col}")))
-    own = rows.join(counts, same).withColumn("rank", F.when(F.col("rows") > 1, rank).otherwise(1))
-    own = own.withColumn("each", F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("rank") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).where("each > 0")
-    return own.withColumn("copy", F.explode(F.expr("sequence(1, each)"))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    rank = F.row_number().over(W.partitionBy("d.id", "d.source", "d.size").orderBy("tag"))
+    placed = rows.join(counts, same).select("doc", "copies", "rows", F.when(F.col("rows") > 1, rank).otherwise(1).alias("rank"))
+    each = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("rank") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    taken = placed.select("doc", each.alias("each")).where("each > 0")
+    return taken.select("doc", F.explode(F.expr("sequence(1, each)"))).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

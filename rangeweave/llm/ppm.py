@@ -6,21 +6,22 @@ method C under these frozen counts: -log2(n / (T + D)) where the context has see
 the escape -log2(D / (T + D)) and the same one order lower (nothing for a context never seen; 8
 bits below order 0). A text belongs to the language that codes it in the fewest bits.
 
-The counts come from a bounded sample of labelled texts: at most TRAIN_ROWS of each language, none
-over TRAIN_BYTES bytes, those of least hash. So the model's size has a proven bound too (it goes
-to the executors with the task). Scoring looks up whole texts, a slice at a time.
+The counts come from a bounded sample of labelled texts: at most TRAIN_ROWS of each language and
+TRAIN_ALL of all, none over TRAIN_BYTES bytes, of at most LANGUAGES languages (those of most texts).
+So the model's size has a proven bound too (it goes to the executors with the task). The sample is
+the text of least hash in each of a number of hash classes of a language: minima combine before the
+shuffle, so no task meets a language's rows. Scoring looks up whole texts, a slice at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangeweave.llm.common import tune
@@ -28,8 +29,9 @@ from rangeweave.llm.common import tune
 ORDER = 4
 TRAIN_ROWS = 120
 TRAIN_BYTES = 100_000
+TRAIN_ALL, LANGUAGES = 2_000, 200
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 18
 _U64 = np.uint64
 
@@ -171,20 +173,27 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, order: int = ORDER) -> Model:
-    """Fit on at most `rows` labelled texts of each language, of at most TRAIN_BYTES bytes, none held out."""
+    """Fit on at most `rows` labelled texts of each language, of at most TRAIN_BYTES bytes, none held out.
+
+    Null and empty texts, and rows without a language, teach nothing; copies of a text count once. An
+    empty table gives a model that knows no language.
+    """
     size = F.octet_length(text_col)
     pool = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & size.between(1, TRAIN_BYTES))
     pool = pool.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col, F.lit(3)).alias("h"), F.col(text_col).alias("text"))
-    # Ranks run over distinct hashes alone, so copies of a text count once; the few texts are read in
-    # a second, filtered scan.
-    best = pool.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
-    most = {r["lang"]: r["h"] for r in best.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not most:
+    known = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
+    if not known:
         return Model({}, order)
-    keep = F.lit(False)
-    for lang, h in sorted(most.items()):
-        keep = keep | ((F.col("lang") == lang) & (F.col("h") <= h))
-    few = pool.where(keep).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
+    rows = max(1, min(rows, TRAIN_ALL // len(known)))
+    named = pool.where(F.col("lang").isin([r["lang"] for r in known]))
+    # The few texts themselves are read in a second, filtered scan.
+    least = named.groupBy("lang", F.pmod("h", F.lit(2 * rows)).alias("k")).agg(F.min("h").alias("h")).collect()
+    chosen: dict[str, list[int]] = {}
+    for r in sorted(least, key=lambda r: (r["lang"], r["h"])):
+        if len(own := chosen.setdefault(r["lang"], [])) < rows:
+            own.append(r["h"])
+    few = named.where(F.col("h").isin(sorted({h for own in chosen.values() for h in own}))).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
+    few = [r for r in few if r["h"] in chosen[r["lang"]]]
     texts: dict[str, list[str]] = {}
     for r in sorted(few, key=lambda r: (r["lang"], r["h"])):
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -224,14 +233,24 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", lang: str
 
 
 def predictions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows (id, held_out, lang_pred, score), one per row of docs, by a model fitted on docs."""
+    """Rows (id, held_out, lang_pred, score), one per row of docs, by a model fitted on docs.
+
+    Null ids are not held out; repeated rows each give a row, all alike. Null texts and texts
+    without a letter are `und`. Columns of docs other than the three named are not looked at, and an
+    empty table gives an empty result.
+    """
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     return identify(rows, model, text_col=text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is known with a score of `least` or more, with the columns of docs."""
+    """The rows of docs whose language is known with a score of `least` or more, with the columns of docs.
+
+    Null texts, empty ones and those without a letter go; a null lang, a null id and repeated rows
+    make no difference. Columns of any name pass through, and an empty table gives an empty result.
+    """
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    named = identify(docs, model, text_col=text_col, lang="__lang", score="__score")
-    return named.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")
+    lang, score = (f"{x}{'_' * max(map(len, docs.columns))}" for x in ("lang", "score"))  # longer than any column of docs
+    named = identify(docs, model, text_col=text_col, lang=lang, score=score)
+    return named.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -270,7 +270,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """docs with one document of each near-duplicate group: the one of the smallest id.
 
-    Of rows that repeat that id, one stays. Rows without an id stay, as nothing can name them.
+    Of rows that repeat that id, one stays. Rows without an id stay, as nothing can name them. Null
+    and empty texts are one group; columns of any other name pass through, and an empty table gives
+    an empty result.
     """
     return one_of_each(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, tau=tau), id_col)
 

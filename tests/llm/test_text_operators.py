@@ -503,3 +503,79 @@ def test_tokens_table(spark):
         want.setdefault(i, []).append((len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)), ids))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert bpe.tokens(documents(spark, []), path).count() == 0
+
+
+# --- odd tables ------------------------------------------------------------------------------
+
+
+def test_mix_keeps_columns_whose_names_clash(spark):
+    names = ["rank", "rows", "copies", "each", "copy", "doc", "size", "tag", "id"]
+    docs = documents(spark, ["a b c", None, "", "d e " * 9], [1, None, 2, 2], extra=False)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert rows and all(r[name] == f"own {name}" for r in rows for name in names)
+    assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_pipeline_stages_pass_clashing_columns_through(spark):
+    docs = documents(spark, ["the cat and the dog\nall the same", "le chat et le chien\nou pas", None, ""], extra=False)
+    for name in ("gone", "kept", "doc", "g", "d", "text_", "lang_pred", "score"):
+        docs = docs.withColumn(name, F.lit(7))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, DATA)
+        assert got.columns == docs.columns
+        assert all(r["gone"] == 7 and r["score"] == 7 for r in got.collect())
+        assert step(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_documents_left_with_line_ends_only_go(spark):
+    rng = random.Random(3)
+    a, b = sentence(rng, 14), sentence(rng, 14)
+    kept = lines.without_repeats(documents(spark, [f"{a}\n{b}", f"{a}\n\n{b}\n", f"{b}\n\t\nnew words of this one only"]))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {0: f"{a}\n{b}", 2: "\t\nnew words of this one only"}
+
+
+@pytest.mark.parametrize("text", ["½", "²", "①", "Ⅷ", "_", "٣"])
+def test_texts_without_letters_have_no_language(text):
+    assert not ppm._LETTER.search(text)
+
+
+def test_candidates_of_a_very_common_key(spark, monkeypatch):
+    """Keys of more lines than a block go another way and miss nothing."""
+    rng = random.Random(15)
+    base = [sentence(rng, 30, 5000) for _ in range(4)]
+    texts = []
+    for x in base:
+        for k in range(40):
+            words = x.split()
+            words[rng.randrange(30)] = f"x{k}"
+            texts.append(" ".join(words))
+    whole = by_id(lines.report(documents(spark, texts)), "n_removed")
+    assert sum(n for ((n,),) in whole.values()) == len(texts) - 4
+    rows = common.stage(lines._hashed(documents(spark, texts), "doc_id", "text", 1))
+    keyed = rows.select(F.explode("keys").alias("g"), "a", "size", "fp")
+    want = {r["a"] for r in lines._candidates(keyed, 0.8, 0.34).collect()}
+    monkeypatch.setattr(simhash.blocks, "__defaults__", ("key", 8))
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    assert {r["a"] for r in lines._candidates(keyed, 0.8, 0.34).collect()} == want
+
+
+@pytest.mark.parametrize("words", [6, 10, 20, 36])
+def test_recall_of_lines_with_words_replaced(spark, words):
+    """Pairs of edit similarity 0.8 or more, by length of the line: nine of ten are found at least."""
+    rng = random.Random(words)
+    texts, pairs = [], 0
+    for _ in range(300):
+        own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(words)]
+        copy = list(own)
+        for at in rng.sample(range(words), max(1, words // 9)):
+            copy[at] = "".join(rng.choice("qrstuvwxyz") for _ in copy[at])
+        if lines.alike(" ".join(own), " ".join(copy)):
+            texts += [" ".join(own), " ".join(copy)]
+            pairs += 1
+    got = sum(n for ((n,),) in by_id(lines.report(documents(spark, texts), min_words=1), "n_removed").values())
+    assert pairs > 60
+    assert 0.9 * pairs <= got <= pairs
