@@ -1,41 +1,37 @@
 """Removal of long repeated passages by relative Lempel-Ziv parsing.
 
-Every text is factored against all earlier text of the corpus. The reference is indexed by blocks:
-content-defined runs of BLOCK words, chosen so that any WINDOW consecutive words hold at least one
-block and equal windows hold equal blocks. A text's parse starts at its blocks that occur elsewhere
-too; every window whose least block is one of them is looked up and gets the earliest place of its words. From
-left to right, a factor is extended as long as the next window was seen before, and each window
-that straddles the end of a factor is checked like any other. Factors of at least WINDOW words are
-the duplicate spans.
-
-What is shuffled: one (hash, document, position) row per block, then the windows around repeated
-blocks only. Equal texts are one text from the start: they never meet as windows.
+The reference is all text of the corpus, indexed by blocks: content-defined runs of BLOCK words,
+chosen so that any WINDOW consecutive words hold at least one block and equal windows hold equal
+blocks. A block's context is itself with WINDOW - BLOCK words on either side, as far as the text
+goes: every window that holds the block lies within it.
+
+A text is factored from left to right. A block whose whole context occurs earlier too points at the
+first such place; a factor runs on over blocks as long as they point to one place after the other,
+and all its words are duplicate. Where a factor ends, the context of the next block is one that no
+earlier text has: there, and there only, windows are checked one by one against the windows around
+the other first contexts of the same block. A window that is found is a factor of its own.
+
+That finds every repeated window: contexts that are equal share all their windows, so the earliest
+place of a window lies in the first of some context. What is shuffled is one row per block, then
+the windows around blocks that have several contexts. Equal texts are one text from the start.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import Roller, stage, tune, unstage, word_spans
+from rangeweave.llm.common import Roller, mix64, stage, tune, unstage, word_hashes, word_spans
 
 WINDOW = 20
 BLOCK = 6
 
-#: A window's place is its first word plus the text's ordinal, among the texts of one id, times this power of two.
-_ORDINAL = 32
-
-#: Hash ranges that windows are looked up in, one after the other.
-PARTS = 4
-
 _FIRST, _SECOND, _PLACE = Roller(11), Roller(12), Roller(13)
 
 
@@ -70,76 +66,103 @@ def block_positions(words: np.ndarray, window: int = WINDOW, block: int = BLOCK)
     return at, g[at]
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every word."""
+    return word_hashes(data, starts, ends, _FIRST), word_hashes(data, starts, ends, _SECOND)
+
+
+def contexts(words: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the contexts of the blocks at `at`; a context that the text cuts off is unlike one that it does not."""
+    n, reach = len(words[0]), window - block
+    low, high = np.maximum(at - reach, 0), np.minimum(at + window, n)
+    shape = ((at - low) * 64 + (high - at)).astype(np.uint64)
+    return tuple(mix64(r.slices(r.prefix(w), low, high) ^ mix64(shape)) for r, w in zip((_FIRST, _SECOND), words, strict=True))
+
+
 def _index(docs: DataFrame, id_col: str, text_col: str, window: int, block: int) -> DataFrame:
-    """Rows (id, tag, n_words, digest, hashes, places) per input row; tag identifies the text."""
+    """Rows (id, tag, n_words, digest, blocks) per input row; tag identifies the text, blocks are (h, c1, c2, p)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, digests, hashes, places = [], [], [], []
+            counts, digests, found = [], [], []
             for raw in pc.cast(b.column(2), pa.binary()).to_pylist():
                 raw, data, starts, ends = _words(raw)
-                at, g = block_positions(_FIRST.words(data, starts, ends), window, block) if len(starts) >= window else ((), ())
+                own = tuple(np.zeros(0, dtype=np.uint64) for _ in range(3)) + (np.zeros(0, dtype=np.int64),)
+                if len(starts) >= window:
+                    words = _hashes(data, starts, ends)
+                    at, g = block_positions(words[0], window, block)
+                    own = (g, *contexts(words, at, window, block), at)
                 counts.append(len(starts))
                 digests.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                hashes.append(np.asarray(g, dtype=np.uint64).view(np.int64))
-                places.append(np.asarray(at, dtype=np.int32))
+                found.append(own)
+            tops = np.cumsum([0, *(len(x[3]) for x in found)])
+            flat = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, dtype=np.uint64) for k in range(4)]
+            blocks = pa.StructArray.from_arrays([*(pa.array(x.view(np.int64)) for x in flat[:3]), pa.array(flat[3].astype(np.int32))], ["h", "c1", "c2", "p"])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(digests), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                names=["id", "tag", "n_words", "digest", "hashes", "places"],
+                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(tops, pa.int32()), blocks)],
+                names=["id", "tag", "n_words", "digest", "blocks"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, f"id {kind}, tag long, n_words long, digest string, hashes array<long>, places array<int>")
+    return rows.mapInArrow(run, f"id {kind}, tag long, n_words long, digest string, blocks array<struct<h: long, c1: long, c2: long, p: int>>")
 
 
 def _windows(texts: DataFrame, kind: str, window: int, block: int) -> DataFrame:
-    """Rows (h1, h2, id, at) of every window whose least block is repeated. texts: (id, text, places, ordinal)."""
+    """Rows (h1, h2, id, tag, p) of every window that holds one of the blocks. texts: (id, tag, text, places)."""
+    reach = window - block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ats, first, second, ordinals = [], [], [], [], b.column(3).to_pylist()
-            for k, (raw, places) in enumerate(zip(pc.cast(b.column(1), pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            of, ats, first, second = [], [], [], []
+            for k, (raw, places) in enumerate(zip(pc.cast(b.column(2), pa.binary()).to_pylist(), b.column(3), strict=True)):
                 _, data, starts, ends = _words(raw)
-                words = _FIRST.words(data, starts, ends)
-                g = _PLACE.grams(words, block)
-                at = np.flatnonzero(np.isin(_sliding(g, window - block + 1, np.minimum), g[np.asarray(places)]))
-                base = np.int64(ordinals[k]) << _ORDINAL
-                pa_, pb = _FIRST.prefix(words), _SECOND.prefix(_SECOND.words(data, starts, ends))
-                first.append(_FIRST.slices(pa_, at, at + window))
-                second.append(_SECOND.slices(pb, at, at + window))
-                ats.append(at + base)
-                ids.append(np.full(len(at), k))
-            if ids:
+                words, p = _hashes(data, starts, ends), places.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.unique((p[:, None] - np.arange(reach + 1)).ravel())
+                at = at[(at >= 0) & (at <= len(starts) - window)]
+                first.append(_FIRST.slices(_FIRST.prefix(words[0]), at, at + window))
+                second.append(_SECOND.slices(_SECOND.prefix(words[1]), at, at + window))
+                ats.append(at)
+                of.append(np.full(len(at), k))
+            if of:
+                of = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64)), b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(ats))],
-                    names=["h1", "h2", "id", "at"],
+                    [pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64)), b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(ats).astype(np.int32))],
+                    names=["h1", "h2", "id", "tag", "p"],
                 )
 
-    return texts.mapInArrow(run, f"h1 long, h2 long, id {kind}, at long")
+    return texts.mapInArrow(run, f"h1 long, h2 long, id {kind}, tag long, p int")
 
 
-def parse(at: np.ndarray, source: np.ndarray, place: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, number of words, index into the arguments of its source).
+def parse(n: int, at: np.ndarray, source: np.ndarray, place: np.ndarray, checked: np.ndarray, window: int = WINDOW, block: int = BLOCK) -> list[tuple[int, int]]:
+    """Greedy factors (first word, number of words) of a text of n words that occur earlier, each of `window` words or more.
 
-    at: sorted starts of windows seen before; source, place: where each was seen first. A factor
-    runs on while the next window follows in the same source too; else the next factor begins at
-    that window, which straddles the boundary.
+    at: sorted places of blocks whose context occurs earlier, source and place: in which text and
+    where. A factor runs on while the next block lies within reach and points to the same source,
+    equally far on; it takes in the contexts of its blocks. checked: sorted starts of the windows
+    found at the ends of factors; neighbouring ones are one factor.
     """
-    if not len(at):
-        return []
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (np.diff(at) != 1) | (source[1:] != source[:-1]) | (np.diff(place) != 1)
-    heads = np.flatnonzero(new)
-    tails = np.concatenate([heads[1:], [len(at)]]) - 1
-    return [(int(at[i]), int(at[j] - at[i]) + window, int(i)) for i, j in zip(heads, tails, strict=True)]
+    out = []
+    if len(at):
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (np.diff(at) > window - block + 1) | (source[1:] != source[:-1]) | (np.diff(place) != np.diff(at))
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(at)) - 1
+        low, high = np.maximum(at[heads] - (window - block), 0), np.minimum(at[tails] + window, n)
+        out += zip(low.tolist(), (high - low).tolist(), strict=True)
+    if len(checked):
+        heads = np.flatnonzero(np.append(True, np.diff(checked) != 1))
+        tails = np.append(heads[1:], len(checked)) - 1
+        out += zip(checked[heads].tolist(), (checked[tails] - checked[heads] + window).tolist(), strict=True)
+    return sorted(out)
 
 
 def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): per input row what is known of its text, and per text its repeated windows.
+    """(texts, spans): per input row what is known of its text, and per text what it repeats.
 
     texts: (id, tag, n_words, digest, copy): copy is true where the same word sequence occurs under
-    a smaller id. spans: (id, tag, seen: array<struct<at, source, place>>), for other texts.
+    a smaller id. spans: (id, tag, blocks: array<struct<p, source, place>>, checked: array<int>),
+    for other texts: blocks whose context occurs earlier, and windows found at the ends of factors.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -148,39 +171,33 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     least = stage(index.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", F.col("id").alias("first")))
     flat = index.select("id", "tag", "n_words", "digest")
     texts = stage(flat.join(least, "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())).drop("first"))
-    copies = texts.where("copy").select("id", "tag").distinct()
-    own = index.where(F.size("hashes") > 0).select("id", "tag", F.arrays_zip("hashes", "places").alias("z"))
-    own = own.join(copies, own["id"].eqNullSafe(copies["id"]) & (own["tag"] == copies["tag"]), "left_anti")
-    own = stage(own.select("id", "tag", "z"))
-    unstage(index, least)
-    blocks = own.select("id", "tag", F.explode("z").alias("z")).select("id", "tag", F.col("z.hashes").alias("h"), F.col("z.places").alias("p"))
-    # Rows that repeat an id and its text are one text: a block counts once per (id, tag, place).
+    copies = texts.where("copy").select(F.col("id").alias("i"), F.col("tag").alias("t")).distinct()
+    own = index.where(F.size("blocks") > 0).join(copies, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left_anti")
+    blocks = own.select("id", "tag", F.explode("blocks").alias("b")).select("id", "tag", F.col("b.h").alias("h"), F.col("b.c1").alias("c1"), F.col("b.c2").alias("c2"), F.col("b.p").alias("p"))
+    # Rows that repeat an id and its text are one text: a block counts once per (id, tag, p).
     mark = F.xxhash64("id", "tag", "p")
     again = stage(blocks.groupBy("h").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("h"))
-    hits = blocks.join(again, "h").groupBy("id", "tag").agg(F.sort_array(F.collect_set("p")).alias("places"))
-    hits = stage(hits.withColumn("ordinal", F.row_number().over(W.partitionBy("id").orderBy("tag")) - 1))
-    unstage(own, again)
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    found = source.join(hits.withColumnRenamed("id", "i").withColumnRenamed("tag", "t"), F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")))
-    windows = _windows(found.select("id", "text", "places", "ordinal"), kind, window, block)
-    windows = stage(windows.withColumn("part", F.pmod("h1", F.lit(PARTS)).cast("int")), partition_by="part")
-    key = F.struct(F.col("id").isNull().alias("void"), "id", "at")
-    parts = []
-    for k in range(PARTS):  # all windows, a hash range at a time, to bound what lies on disk at once
-        own = windows.where(F.col("part") == k).select("h1", "h2", "id", "at")
-        seen = stage(own.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2", "least"))
-        later = own.join(seen, ["h1", "h2"]).where(key > F.col("least"))
-        parts.append(stage(later.select("id", "at", F.col("least.id").alias("source"), F.col("least.at").alias("place"))))
-        unstage(seen)
-    unstage(windows)
-    later = reduce(DataFrame.unionByName, parts)
-    ordinal = F.shiftright("at", _ORDINAL).cast("int").alias("o")
-    word = F.col("at").bitwiseAND(F.lit((1 << _ORDINAL) - 1)).cast("int").alias("at")
-    spans = later.groupBy(F.col("id").alias("i"), ordinal).agg(F.sort_array(F.collect_set(F.struct(word, "source", "place"))).alias("seen"))
-    tags = hits.select("id", "tag", "ordinal")
-    spans = tags.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("ordinal") == F.col("o"))).select("id", "tag", "seen")
-    spans = stage(spans)
-    unstage(hits, *parts)
+    hits = stage(blocks.join(again, "h").dropDuplicates(["id", "tag", "p"]))
+    unstage(index, least, again)
+    # The first of each context; contexts of one block that are alike in all words are one.
+    key = F.struct(F.col("id").isNull().alias("void"), "id", "tag", "p")
+    first = stage(hits.groupBy("h", "c1", "c2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")))
+    lone = first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    source = F.xxhash64("first.id", "first.tag")
+    pointed = hits.join(first.where("c > 1"), ["h", "c1", "c2"]).where(key > F.col("first")).select("id", "tag", F.struct("p", source.alias("source"), F.col("first.p").alias("place")).alias("b"))
+    pointed = stage(pointed)
+    # At the ends of factors: windows around the first contexts of blocks that have several.
+    ends = first.join(lone, "h").groupBy(F.col("first.id").alias("id"), F.col("first.tag").alias("tag")).agg(F.collect_set("first.p").alias("places"))
+    ends = stage(ends)
+    text = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    near = text.join(ends, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("id", "tag", "text", "places")
+    windows = stage(_windows(near, kind, window, block))
+    seen = windows.groupBy("h1", "h2").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least <> most").select("h1", "h2", "least")
+    checked = stage(windows.join(seen, ["h1", "h2"]).where(key > F.col("least")).select("id", "tag", "p"))
+    unstage(hits, first, ends, windows)
+    both = pointed.select("id", "tag", "b", F.lit(None).cast("int").alias("p")).unionByName(checked.select("id", "tag", F.lit(None).cast(pointed.schema["b"].dataType).alias("b"), "p"))
+    spans = stage(both.groupBy("id", "tag").agg(F.sort_array(F.collect_list("b")).alias("blocks"), F.sort_array(F.collect_set("p")).alias("checked")))
+    unstage(pointed, checked)
     return texts, spans
 
 
@@ -202,12 +219,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, gone, digests, kept, counts = [], [], [], [], []
-            for raw, seen in zip(pc.cast(b.column(2), pa.binary()).to_pylist(), b.column(3), strict=True):
+            for raw, seen, ends in zip(pc.cast(b.column(2), pa.binary()).to_pylist(), b.column(3), b.column(4), strict=True):
                 words = raw.split()
-                at, source, place = (seen.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                at, source, place = (seen.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
                 out = np.zeros(len(words), dtype=bool)
-                parsed = parse(at, source, place, window)
-                for start, n, _ in parsed:
+                parsed = parse(len(words), at, source, place, ends.values.to_numpy(zero_copy_only=False).astype(np.int64), window, block)
+                for start, n in parsed:
                     out[start : start + n] = True
                 left = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x])
                 sizes.append(len(words))
@@ -221,8 +238,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             )
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    s = spans.select(F.col("id").alias("i"), F.col("tag").alias("t"), "seen")
-    cut = source.join(s, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("id", "tag", "text", "seen")
+    s = spans.select(F.col("id").alias("i"), F.col("tag").alias("t"), "blocks", "checked")
+    cut = source.join(s, F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("id", "tag", "text", "blocks", "checked")
     cut = cut.mapInArrow(run, f"i {kind}, n_words long, n_removed long, kept_sha256 string, kept string, n_factors long")
     # Texts without such spans are whole, or copies of a text of a smaller id and gone.
     rest = texts.join(s.select("i", "t"), F.col("id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left_anti")
