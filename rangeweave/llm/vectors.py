@@ -3,56 +3,83 @@
 1. Vectors that nearly coincide (within EPSILON of an angle) become one ball with a multiplicity,
    so groups of copies never turn into pairs. What holds between two balls' centres, up to twice
    EPSILON, holds for their members; the rare pairs of balls for which that does not decide are
-   resolved member by member.
-2. Balls are dealt into buckets by the signs of a few random projections, several times over.
-3. Within a bucket the balls are sorted along each of PROJECTIONS further projections. Around each
-   query, a window of fixed width is laid on every one of these lines; a pair's collisions are
-   counted, and pairs with enough of them are verified by their exact cosine.
-
-Number and width of the bucket tables, window and count are set from the threshold such that a pair
-just at it is found with probability RECALL * COUNT_RECALL at least, closer ones more often.
+   resolved by blocks of members.
+2. Centres are projected on many random lines, and each line is sorted. A window of fixed width is
+   laid around every query on it. As nearly half of all vectors lie in such a window near the
+   middle of a line, only its two ends count, beyond a cut: two vectors within the threshold are
+   often out there together, two others nearly never, so few pairs collide without being near.
+3. Collisions of a pair are counted over all lines, and pairs with enough of them are verified by
+   their exact cosine. Only then do vectors travel; a line holds numbers.
+
+Number of lines, cut and count follow from the threshold and the number of vectors: the cheapest
+ones for which a pair just at the threshold is found with probability RECALL (projections of a pair
+are jointly normal, and lines are independent, so this is exact), closer ones more often.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import acos, ceil, comb, cos, erf, log, log2, pi, sqrt
+from math import acos, ceil, cos, erf, exp, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import components, stage, tune
+from rangeweave.llm.common import components, stage, tune, unstage
 
 LEAST = 0.9
 EPSILON = 1e-4
-PROJECTIONS = 40
-RECALL, COUNT_RECALL = 0.97, 0.99
+RECALL = 0.985
 #: Half width of a window, in standard deviations of the difference of a pair at the threshold.
 REACH = 1.96
-#: Rows of a block; larger buckets are compared block by block.
+#: Rows of a block; longer lists are compared block by block.
 BLOCK = 1000
-#: Balls per bucket that the width of the tables aims at.
-FILL = 32
-
-
-def tables_for(n: int, least: float = LEAST) -> tuple[int, int]:
-    """(tables, signs per table) for n balls."""
-    signs = max(8, ceil(log2(max(n, 2) / FILL)))
-    hit = (1 - acos(least) / pi) ** signs
-    return ceil(log(1 - RECALL) / log(1 - hit)), signs
-
-
-def window_for(least: float = LEAST) -> tuple[float, int]:
-    """(half width, collisions needed) for pairs at the threshold."""
-    p = erf(REACH / sqrt(2))
-    need, total = PROJECTIONS + 1, 0.0
-    while total < COUNT_RECALL:
-        need -= 1
-        total += comb(PROJECTIONS, need) * p**need * (1 - p) ** (PROJECTIONS - need)
-    return REACH * sqrt(2 - 2 * least), need
+#: Lines projected on at a time.
+LINES = 4096
+#: Costs of projecting a number, of an end of a line that a vector is in, of a collision and of a verified pair.
+NUMBER_COST, END_COST, COLLISION_COST, PAIR_COST = 1e-4, 1.0, 1.0, 20.0
+#: Signs that near-coincident vectors are looked for by.
+SIGNS = 32
+
+_ERF = np.vectorize(erf, otypes=[np.float64])
+
+
+def together(cut: float, cosine: float, half: float) -> float:
+    """Probability that both projections of a pair are beyond the cut, at one end, within half of each other."""
+    x, step = np.linspace(cut, cut + 6, 600, retstep=True)
+    spread = sqrt(2 * max(1 - cosine * cosine, 1e-12))
+    inner = _ERF((x + half - cosine * x) / spread) - _ERF((np.maximum(cut, x - half) - cosine * x) / spread)
+    return float((np.exp(-x * x / 2) / sqrt(2 * pi) * np.maximum(inner, 0) / 2).sum() * step)
+
+
+@lru_cache(maxsize=64)
+def plan_for(n: int, dim: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, float, float, int]:
+    """(lines, cut, half width of a window, collisions needed) of least estimated cost for n vectors."""
+    half, best = REACH * sqrt(2 - 2 * least), None
+    for cut in np.arange(0.0, 6.01, 0.25).tolist():
+        near, far, out = 2 * together(cut, least, half), 2 * together(cut, 0.0, half), 1 - erf(cut / sqrt(2))
+        for need in (2, 3, 4, 5):
+            mean = float(need)  # collisions expected at the threshold, so many that `need` are reached
+            while sum(_poisson(mean, k) for k in range(need)) > 1 - recall:
+                mean *= 1.02
+            lines = ceil(mean / near)
+            stray, term = lines * far, 1.0
+            for k in range(1, need + 1):
+                term *= stray / k
+            pairs = n * n / 2
+            cost = n * lines * dim * NUMBER_COST + n * lines * out * END_COST + pairs * stray * COLLISION_COST + pairs * min(term, 1.0) * PAIR_COST
+            if best is None or cost < best[0]:
+                best = cost, lines, cut, need
+    return best[1], best[2], half, best[3]
+
+
+def _poisson(mean: float, k: int) -> float:
+    out = exp(-mean)
+    for j in range(1, k + 1):
+        out *= mean / j
+    return out
 
 
 @lru_cache(maxsize=16)
@@ -128,7 +155,7 @@ def _groups(rows: DataFrame, columns: list[str], handle, schema: str, names: lis
 def _balls(rows: DataFrame, vec_type: str, epsilon: float) -> DataFrame:
     """Rows (rid, leader, mult, vec): mult and vec, of leaders only, the members and the centre."""
     near = cos(epsilon)
-    signed = _spread(rows.select("rid", "vec"), f"rid long, vec {vec_type}", 1, 32, 31)
+    signed = _spread(rows.select("rid", "vec"), f"rid long, vec {vec_type}", 1, SIGNS, 31)
     keyed = stage(signed.where("keys is not null").select("rid", "vec", F.xxhash64("dim", F.element_at("keys", 1)).alias("key")))
     sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     joined = keyed.join(sizes, "key", "left")
@@ -154,66 +181,108 @@ def _balls(rows: DataFrame, vec_type: str, epsilon: float) -> DataFrame:
     return alone.unionByName(_groups(many, ["rid", "vec"], gather, schema, ["rid", "leader", "mult", "vec"]))
 
 
+def _ends(balls: DataFrame, plan: dict[int, tuple[int, float, float, int]], vec_type: str) -> DataFrame:
+    """Rows (line, rid, value): the lines on which a ball's centre is beyond the cut. Lines of one dimension and end have one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units, rid = unit_rows(b.column(1)), b.column(0).to_numpy()
+            for dim in sorted({len(v) for v in units}):
+                own = np.array([i for i, v in enumerate(units) if len(v) == dim])
+                x, (lines, cut, _, _) = np.stack([units[i] for i in own]).astype(np.float32), plan[dim]
+                for low in range(0, lines, LINES):
+                    value = x @ _directions(dim, min(LINES, lines - low), 1000 + low).astype(np.float32)
+                    i, j = np.nonzero(np.abs(value) >= cut)
+                    value = value[i, j]
+                    line = ((low + j.astype(np.int64)) * 2 + (value < 0)) << 20 | dim
+                    yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(rid[own[i]]), pa.array(np.abs(value))], names=["line", "rid", "value"])
+
+    return balls.select("rid", "vec").mapInArrow(run, "line long, rid long, value float")
+
+
+def _collisions(ends: DataFrame, plan: dict[int, tuple[int, float, float, int]]) -> DataFrame:
+    """Rows (a, b), a < b, of pairs that collide often enough."""
+    sizes = stage(ends.groupBy("line").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    n = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = ends.join(sizes, "line").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    rows = rows.select(F.xxhash64("line", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "line", "rid", "value", "own", (F.col("own") == F.col("other")).alias("home"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            g = t["g"].to_numpy()
+            cut = len(g) if last else int(np.searchsorted(g, g[-1]))
+            held = t.slice(cut).to_batches() if cut < len(g) else []
+            if cut:
+                yield from meet(*(t[c].slice(0, cut).to_numpy(zero_copy_only=False) for c in ("g", "line", "rid", "value", "own", "home")))
+
+        for b in batches:
+            held += [b] if b.num_rows else []
+            if sum(x.num_rows for x in held) >= 8 * BLOCK:
+                yield from ready(False)
+        if held:
+            yield from ready(True)
+
+    def meet(g, line, rid, value, own, home) -> Iterator[pa.RecordBatch]:
+        half = np.array([plan[int(d)][2] for d in line & ((1 << 20) - 1)], dtype=np.float32)
+        at, d, heads, tails, size = np.arange(len(g)), 1, [], [], 0
+        while len(at):  # windows on sorted lists: the query meets the d-th after it, as long as that is within
+            at = at[: np.searchsorted(at, len(g) - d)]
+            at = at[(g[at] == g[at + d]) & (value[at + d] - value[at] <= half[at])]
+            # In a list of two blocks only pairs across them count; each block's own pairs have a list.
+            ok = at[(own[at] != own[at + d]) | (home[at] & home[at + d])]
+            heads.append(rid[ok])
+            tails.append(rid[ok + d])
+            size += len(ok)
+            d += 1
+            if size > 1 << 20 or not len(at):
+                i, j = np.concatenate(heads), np.concatenate(tails)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(np.zeros(len(i), dtype=np.int32) + least_needed)], names=["a", "b", "need"])
+                heads, tails, size = [], [], 0
+
+    least_needed = min((x[3] for x in plan.values()), default=2)
+    met = rows.repartition("g").sortWithinPartitions("g", "value").mapInArrow(run, "a long, b long, need int")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+
+
 def _pairs(balls: DataFrame, vec_type: str, least: float, epsilon: float) -> DataFrame:
-    """Rows (kind, a, b, n) from all buckets: 0 edges of spanning forests of links between balls, 1
+    """Rows (kind, a, b, n) from all collisions: 0 edges of spanning forests of links between balls, 1
     a ball a has n links to vectors of other balls, 2 pairs of balls whose members must be looked at."""
-    tables, signs = tables_for(balls.count(), least)
-    half, need = window_for(least)
-    keyed = stage(_spread(balls.select("rid", "mult", "vec"), f"rid long, mult long, vec {vec_type}", tables, signs, 32))
-    each = keyed.select("rid", F.posexplode("keys").alias("t", "k"), "dim").select("rid", "t", F.xxhash64("dim", "t", "k").alias("key"))
-    sizes = stage(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    n = F.ceil(F.col("c") / BLOCK).cast("int")
-    light = each.join(sizes, "key").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("n")).cast("int"))
-    light = light.withColumn("other", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("pure", F.col("n") == 1)
-    light = light.select("rid", "t", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "own", ((F.col("own") == F.col("other")) | F.col("pure")).alias("home"))
-    full = light.join(keyed.select("rid", "mult", "vec"), "rid")
     low, high = cos(min(pi, acos(least) + 2 * epsilon)), cos(max(0.0, acos(least) - 2 * epsilon))
-
-    def meet(t: pa.Table) -> list[pa.Array]:
-        rid, mult, table, own, home = (t[c].to_numpy() for c in ("rid", "mult", "t", "own", "home"))
-        x = np.stack(unit_rows(t["vec"].combine_chunks()))
-        line = x @ _directions(x.shape[1], PROJECTIONS, 33)
-        bucket, m = _signs(x, tables, signs, 32), len(rid)
-        heads, tails = [], []
-        rank = np.argsort(np.argsort(line, axis=0, kind="stable"), axis=0, kind="stable")
-        column = np.sort(line, axis=0)
-        first = np.stack([np.searchsorted(column[:, j], line[:, j] - half, "left") for j in range(PROJECTIONS)], axis=1) if m > 64 else None
-        last = np.stack([np.searchsorted(column[:, j], line[:, j] + half, "right") for j in range(PROJECTIONS)], axis=1) if m > 64 else None
-        step = max(1, (1 << 21) // (m * (1 if m > 64 else PROJECTIONS)))
-        for at in range(0, m, step):  # queries, some at a time
-            if m > 64:
-                hits = np.zeros((min(step, m - at), m), dtype=np.int16)
-                for j in range(PROJECTIONS):
-                    hits += (rank[None, :, j] >= first[at : at + step, j, None]) & (rank[None, :, j] < last[at : at + step, j, None])
-            else:  # the same windows, without sorting so few
-                hits = (np.abs(line[at : at + step, None, :] - line[None, :, :]) <= half).sum(axis=2)
-            i, j = np.nonzero(hits >= need)
-            i += at
-            ok = i < j
-            heads.append(i[ok])
-            tails.append(j[ok])
-        i, j = np.concatenate(heads), np.concatenate(tails)
-        # In a group of two blocks only pairs across them count; each block's own pairs have a group.
-        ok = (own[i] != own[j]) | (home[i] & home[j])
-        i, j = i[ok], j[ok]
-        score = np.einsum("ij,ij->i", x[i], x[j])
-        single = (mult[i] == 1) & (mult[j] == 1)
-        sure, maybe = np.where(single, score >= least, score >= high), ~single & (score < high) & (score >= low)
-        # A pair counts in the first table that has it in one bucket.
-        kept = sure | maybe
-        i, j, sure = i[kept], j[kept], sure[kept]
-        ok = (bucket[i] == bucket[j]).argmax(axis=1) == table[0]
-        i, j, sure = i[ok], j[ok], sure[ok]
-        p, q, u, v = i[sure], j[sure], i[~sure], j[~sure]
-        links = np.zeros(m, dtype=np.int64)
-        np.add.at(links, p, mult[q])
-        np.add.at(links, q, mult[p])
-        label = _forest(p, q, m)
-        some, roots = np.flatnonzero(links), np.flatnonzero(label != np.arange(m))
-        kind = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(roots), len(some), len(u)])
-        return [pa.array(kind), pa.array(np.concatenate([rid[roots], rid[some], rid[u]])), pa.array(np.concatenate([rid[label[roots]], rid[some], rid[v]])), pa.array(np.concatenate([np.zeros(len(roots), dtype=np.int64), links[some], np.zeros(len(u), dtype=np.int64)]))]
-
-    return _groups(full, ["rid", "t", "own", "home", "mult", "vec"], meet, "kind int, a long, b long, n long", ["kind", "a", "b", "n"])
+    # Dimensions are few; the plan of each follows from the number of its balls.
+    plan = {r["d"]: plan_for(1 << max(r["n"] - 1, 1).bit_length(), r["d"], low) for r in balls.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = _collisions(stage(_ends(balls, plan, vec_type)), plan)
+    one = balls.select(F.col("rid").alias("a"), F.col("mult").alias("m"), F.col("vec").alias("p"))
+    two = balls.select(F.col("rid").alias("b"), F.col("mult").alias("k"), F.col("vec").alias("q"))
+    full = stage(near).join(one, "a").join(two, "b").select("a", "b", "m", "k", "p", "q")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not t.num_rows:
+                continue
+            a, b, m, k = (t.column(c).to_numpy() for c in range(4))
+            score = np.array([u @ v for u, v in zip(unit_rows(t.column(4)), unit_rows(t.column(5)), strict=True)])
+            single = (m == 1) & (k == 1)
+            sure, maybe = np.where(single, score >= least, score >= high), ~single & (score < high) & (score >= low)
+            ids, at = np.unique(np.concatenate([a[sure], b[sure]]), return_inverse=True)
+            p, q = at[: sure.sum()], at[sure.sum() :]
+            links = np.zeros(len(ids), dtype=np.int64)
+            np.add.at(links, p, k[sure])
+            np.add.at(links, q, m[sure])
+            label = _forest(p, q, len(ids))
+            roots = np.flatnonzero(label != np.arange(len(ids)))
+            kind = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(roots), len(ids), maybe.sum()])
+            zeros = np.zeros(len(roots), dtype=np.int64), np.zeros(maybe.sum(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kind), pa.array(np.concatenate([ids[roots], ids, a[maybe]])), pa.array(np.concatenate([ids[label[roots]], ids, b[maybe]])), pa.array(np.concatenate([zeros[0], links, zeros[1]]))],
+                names=["kind", "a", "b", "n"],
+            )
+
+    return full.mapInArrow(verify, "kind int, a long, b long, n long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -229,17 +298,29 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _resolve(doubtful: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b, x, y): members x of ball a and y of ball b, a and b doubtful, that link."""
-    left = members.select(F.col("leader").alias("a"), F.col("rid").alias("x"), F.col("vec").alias("p"))
-    right = members.select(F.col("leader").alias("b"), F.col("rid").alias("y"), F.col("vec").alias("q"))
+def _resolve(doubtful: DataFrame, members: DataFrame, vec_type: str, least: float) -> DataFrame:
+    """Rows (a, b, x, n) for pairs of balls of which some members link: member x has n links in the other ball.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = [u @ v >= least for u, v in zip(unit_rows(t.column(4)), unit_rows(t.column(5)), strict=True)]
-            yield pa.RecordBatch.from_arrays(t.columns[:4], names=["a", "b", "x", "y"]).filter(pa.array(ok, pa.bool_()))
+    members: (rid, leader, vec). Both balls are cut into blocks, and every pair of blocks is one
+    group, so members are compared in matrices and never become rows of pairs.
+    """
+    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    pairs = doubtful.select("a", "b").distinct()
+    pairs = pairs.join(sizes.select(F.col("leader").alias("a"), F.col("parts").alias("na")), "a").join(sizes.select(F.col("leader").alias("b"), F.col("parts").alias("nb")), "b")
+    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0, na - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("g", F.xxhash64("a", "b", "i", "j"))
+    own = members.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("rid", F.lit(9)), F.col("parts")).cast("int").alias("part"), "rid", "vec")
+    sides = pairs.select("g", "a", "b", F.col("a").alias("leader"), F.col("i").alias("part"), F.lit(0).alias("side")).unionByName(pairs.select("g", "a", "b", F.col("b").alias("leader"), F.col("j").alias("part"), F.lit(1).alias("side")))
+    rows = sides.join(own, ["leader", "part"])
+
+    def meet(t: pa.Table) -> list[pa.Array]:
+        side, rid, vec = t["side"].to_numpy(), t["rid"].to_numpy(), t["vec"].combine_chunks()
+        x, left, right = unit_rows(vec), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        hit = np.stack([x[k] for k in left]) @ np.stack([x[k] for k in right]).T >= least if len(left) and len(right) else np.zeros((len(left), len(right)), dtype=bool)
+        n, of = np.concatenate([hit.sum(axis=1), hit.sum(axis=0)]).astype(np.int64), np.concatenate([left, right])
+        of, n = of[n > 0], n[n > 0]
+        return [t["a"].combine_chunks().take(pa.array(of)), t["b"].combine_chunks().take(pa.array(of)), pa.array(rid[of]), pa.array(n)]
 
-    return doubtful.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long, x long, y long")
+    return _groups(rows, ["a", "b", "side", "rid", "vec"], meet, "a long, b long, x long, n long", ["a", "b", "x", "n"])
 
 
 def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", least: float = LEAST, epsilon: float = EPSILON) -> DataFrame:
@@ -257,17 +338,18 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vec_col: str =
     members = stage(_balls(rows, vec_type, epsilon))
     balls = members.where("rid = leader").select("rid", "mult", "vec")
     found = stage(_pairs(balls, vec_type, least, epsilon))
-    exact = stage(_resolve(found.where("kind = 2").select("a", "b"), members.select("rid", "leader").join(rows.select("rid", "vec"), "rid"), least))
+    exact = stage(_resolve(found.where("kind = 2").select("a", "b"), members.select("rid", "leader").join(rows.select("rid", "vec"), "rid"), vec_type, least))
     edges = found.where("kind = 0").select("a", "b").unionByName(exact.select("a", "b").distinct())
     joined = components(edges)
     links = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "l")
-    extra = exact.select(F.col("x").alias("e")).unionByName(exact.select(F.col("y").alias("e"))).groupBy("e").agg(F.count(F.lit(1)).alias("extra"))
+    extra = exact.groupBy(F.col("x").alias("e")).agg(F.sum("n").alias("extra"))
     whole = balls.select("rid", "mult").join(links, F.col("rid") == F.col("l"), "left").join(joined, F.col("rid") == F.col("node"), "left")
     whole = stage(whole.select(F.col("rid").alias("ball"), F.coalesce("component", "rid").alias("root"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     named = rows.select("id", "rid").join(members.select(F.col("rid").alias("m"), "leader"), F.col("rid") == F.col("m"), "left")
     named = named.join(whole, F.col("leader") == F.col("ball"), "left").join(extra, F.col("rid") == F.col("e"), "left")
     named = stage(named.select("id", "rid", "root", (F.coalesce("links", F.lit(0)) + F.coalesce("extra", F.lit(0))).cast("long").alias("n_links")))
     least_of = stage(named.where("root is not null").groupBy("root").agg(F.min("id").alias("smallest")))
+    unstage(rows, members, found, exact, whole)
     out = named.join(least_of, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("smallest"))
     return out.select(F.col("id").alias(id_col), "n_links", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
