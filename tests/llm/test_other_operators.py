@@ -232,6 +232,61 @@ def test_templates_of_a_host_go_and_copies_do_not_make_them(spark):
     assert pages.extract(page_table(spark, [])).count() == 0
 
 
+def test_classes_that_say_something_else_keep_their_text():
+    for html in (
+        '<div class="site has-sidebar"><p>text of the page</p></div>',
+        '<article class="post no-sidebar"><p>text of the page</p></article>',
+        '<div class="post share-enabled"><p>text of the page</p></div>',
+        '<article><section id="search-algorithms"><p>text of the page</p></section></article>',
+        '<form id="aspnet"><input type="hidden"><div><article><p>text of the page</p></article></div></form>',
+        '<form><input type="hidden"><p>text of the page</p></form>',
+        '<div class="main-wrapper"><p>text of the page</p></div>',
+    ):
+        assert main_text(html) == "text of the page", html
+    short = "<article><p>a</p></article><section id=comments>" + "<article><p>a long remark of a reader</p></article>" * 9 + "</section>"
+    assert main_text(short) == "a"
+    for name in ("cookie-notice", "site-header", "main-nav", "comment-list", "ad", "ad2", "social share"):
+        assert pages.told(name), name
+
+
+def brute_extract(rows, share=0.3, few=3, many=10):
+    """Counting with plain dictionaries over the blocks of every page."""
+    parts, hosts, seen = [], {}, {}
+    for _, url, html in rows:
+        host = url.split("://", 1)[1].split("/")[0].lower() if url else ""
+        got = pages.blocks(html)
+        parts.append((host, got))
+        hosts.setdefault(host, set()).add(tuple(got[0]))
+        for h in got[2]:
+            seen.setdefault((host, h), set()).add(tuple(got[0]))
+    out = []
+    for host, (texts, chains, _) in parts:
+        gone = lambda h, host=host: len(seen[host, h]) >= max(many if h % 2 else few, share * len(hosts[host]))
+        out.append("\n".join(t for t, c in zip(texts, chains, strict=True) if not any(map(gone, c))))
+    return out
+
+
+def test_templates_go_by_counting_only(spark):
+    """Blocks of no telling tag or class, in and out of articles, by brute force; fewer pages keep them."""
+    rng, rows = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    for k in range(40):
+        shared = "".join(f"<p>{x}</p>" for x in ("about us", "read more") if rng.random() < 0.8)
+        rows.append((len(rows), "http://many.example/x", f"<article><h1>The title</h1><p>{word()} {word()}</p>{shared}<ul><li>{rng.choice(['one', 'two'])}<li>{word()}</ul></article>"))
+        rows.append((len(rows), "http://bare.example/x", f"<div><div><p>all our sites</p></div><p>{word()}</p>{'<p>rare</p>' if k < 2 else ''}</div>"))
+    rows += [(len(rows) + k, "http://less.example/", f"<article><p>{k}</p><p>about us</p></article>") for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(page_table(spark, rows)).collect()}
+    want = brute_extract(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    plain = ["\n".join(pages.blocks(h)[0]) for _, _, h in rows]
+    changed = sum(a != b for a, b in zip(want, plain, strict=True))
+    assert changed >= 60
+    assert not any("about us" in t or "all our sites" in t for t in want[:80])
+    assert all("The title" in t for t in want[:80:2])
+    assert sum("rare" in t for t in want) == 2
+    assert want[80:] == plain[80:]
+
+
 # --- vectors ---------------------------------------------------------------------------------
 
 
