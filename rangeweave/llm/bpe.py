@@ -3,25 +3,30 @@
 Within one pre-token the encoding of every prefix ends in exactly one token, and a sequence of
 tokens is the encoding of its bytes if and only if each neighbouring pair is (for merge lists whose
 rules only join symbols made by earlier rules; others are refused). So one pass over the bytes
-keeps, for each prefix, its last token. Tokens are emitted once they are stable: once the paths
-back from all prefixes that a later token could still start from have met. How far a merge can
-look ahead is computed from the merge list, and paths are compared that often, so a pre-token of
-any length takes bounded memory.
+keeps, for each prefix, its last token. How many bytes after a boundary can bear on it follows from
+the merge list; a boundary that far behind the last byte read is stable, and the tokens before it
+are emitted and forgotten. So a pre-token of any length takes constant memory. Texts are cut at
+white space into slices of bounded size, decoding is a state machine that is fed some ids at a time.
+
+Unicode tables differ between libraries. Where the two that are at hand disagree on a character,
+the tokenizers library is asked, once, how it reads it (see Tables); it encodes nothing here.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from rangeweave.llm.common import tune
 
@@ -81,9 +86,14 @@ class Merges:
                     self.final.append(-1)
                 node = self.next[node][byte]
             (self.final if s in ends else self.inner)[node] = s
-        self.longest = max(map(len, self.text))
+        self.lengths = list(map(len, self.text))
+        self.longest = max(self.lengths)
         self._joins: dict[int, bool] = {}
 
+    @cached_property
+    def far(self) -> int:
+        return max(self.lookahead(), self.longest)
+
     def lookahead(self) -> int:
         """Bytes after a boundary that can bear on it: the most a chain of ever earlier rules spans.
 
@@ -127,75 +137,141 @@ class Merges:
         self._joins[key] = ok
         return ok
 
-    def stream(self, pieces: Iterator[bytes]) -> Iterator[int]:
-        """Symbols of one pre-token that comes in pieces, each as soon as it is stable."""
-        data, last, done = bytearray(), [-1], 0  # last[i]: last symbol of the first i bytes; last[0]: the one before
-        check = max(4 * self.longest, self.lookahead())
-
-        def walk(end: bool) -> None:
-            nonlocal done
-            last.extend([-1] * (len(data) + 1 - len(last)))
-            limit = len(data) if end else len(data) - self.longest
-            while done < limit:
-                node, at = 0, done
-                while at < len(data) and (node := self.next[node].get(data[at], -1)) >= 0:
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
+        """Symbols of one pre-token that comes in pieces, each as soon as it is stable.
+
+        last[i]: last symbol of the first i bytes held; last[0]: the one before them. Symbols that
+        start in the newest bytes wait for more, as a longer one may start there too.
+        """
+        data, last, done = bytearray(), [-1], 0
+        nexts, inner, apart, lengths = self.next, self.inner, self.apart, self.lengths
+        source, piece = iter(pieces), None
+        while True:
+            ahead = next(source, None)
+            if piece is None and ahead is not None:
+                piece = ahead
+                continue
+            end = ahead is None
+            data += piece or b""
+            last += [-1] * (len(data) + 1 - len(last))
+            n = len(data)
+            for start in range(done, n if end else max(done, n - self.longest)):
+                before, node, at = last[start], 0, start
+                while at < n:
+                    node = nexts[node].get(data[at], -1)
+                    if node < 0:
+                        break
                     at += 1
-                    s = self.final[node] if end and at == len(data) and self.suffix else self.inner[node]
-                    if s >= 0 and last[at] < 0 and (last[done] < 0 or self.apart(last[done], s)):
+                    s = self.final[node] if end and at == n and self.suffix else inner[node]
+                    if s >= 0 and last[at] < 0 and (before < 0 or apart(before, s)):
                         last[at] = s
-                done += 1
-
-        def cuts(i: int) -> list[int]:
-            out = [i]
-            while i:
-                i -= len(self.text[last[i]])
-                out.append(i)
-            return out
-
-        for piece in pieces:
-            for at in range(0, len(piece), check):
-                data += piece[at : at + check]
-                walk(False)
-                if done <= check:
-                    continue
-                # A later token starts at one of the newest prefixes; what all their paths share is stable.
-                shared = set(cuts(done))
-                for i in range(max(1, done - self.longest), done):
-                    shared &= set(cuts(i))
-                if stable := max(shared):
-                    yield from (last[i] for i in reversed(cuts(stable)[:-1]))
-                    del data[:stable], last[:stable]
-                    done -= stable
-        walk(True)
-        yield from (last[i] for i in reversed(cuts(len(data))[:-1]))
+                done = start + 1
+            if end:
+                break
+            piece = ahead
+            if done > 2 * self.far:
+                out, i, cut = [], done, 0
+                while i:
+                    if i <= done - self.far:  # far enough behind: this boundary is stable, and so are those before it
+                        cut = cut or i
+                        out.append(last[i])
+                    i -= lengths[last[i]]
+                yield from reversed(out)
+                del data[:cut], last[:cut]
+                done -= cut
+        out, i = [], len(data)
+        while i:
+            out.append(last[i])
+            i -= lengths[last[i]]
+        yield from reversed(out)
 
     def encode(self, raw: bytes) -> list[int]:
         """Symbols of one whole pre-token."""
-        n = len(raw)
-        last = [-1] * (n + 1)
-        nexts, inner, apart = self.next, self.inner, self.apart
-        for start in range(n):
-            before, node, at = last[start], 0, start
-            while at < n:
-                node = nexts[node].get(raw[at], -1)
-                if node < 0:
-                    break
-                at += 1
-                s = self.final[node] if at == n and self.suffix else inner[node]
-                if s >= 0 and last[at] < 0 and (not start or apart(before, s)):
-                    last[at] = s
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.text[last[n]])
-        return out[::-1]
-
-
-#: Pre-token patterns by the tokenizer's kind; white space is the Unicode property in both.
-_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-_BYTE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Longer pre-tokens go through the stream.
-_LONG = 2048
+        return list(self.stream([raw[i : i + PIECE] for i in range(0, len(raw), PIECE)] if len(raw) > PIECE else (raw,)))
+
+
+class Tables:
+    """How the tokenizers library reads characters, as far as Python's two tables do not agree on them.
+
+    letters, numbers: what goes into a character class besides \\p{L} and \\p{N}, and what is taken
+    out; lower: lower-case forms that str.lower does not know; odd: characters that the library puts
+    in another canonical order or composes differently.
+    """
+
+    def __init__(self):
+        every = "".join([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+        unknown = regex.findall(r"\p{Cn}", every)
+        kinds = [(x, unicodedata.category(x)) for x in every]
+        self.letters, self.numbers = (self._class(kind, {x for x, k in kinds if k[0] == kind}, every) for kind in "LN")
+        lower, nfc = normalizers.Lowercase(), normalizers.NFC()
+        new = {x for x, k in kinds if k == "Cn"} - set(unknown)
+        self.lower = {ord(x): y for x in new if (y := lower.normalize_str(x)) != x.lower()}
+        odd = set()
+        for x, k in kinds:
+            if k[0] == "M" and unicodedata.combining(x):
+                # Marks of the lowest and highest classes before and after show where x is put.
+                for text in ("a\u0345" + x, "a\u0301" + x, "a" + x + "\u0334", "a\u0334" + x, "a" + x + "\u0301", "a" + x + "\u0345"):
+                    if nfc.normalize_str(text) != unicodedata.normalize("NFC", text):
+                        odd.add(x)
+            parts = unicodedata.decomposition(x)
+            if parts and parts[0] != "<":
+                text = unicodedata.normalize("NFD", x)
+                if nfc.normalize_str(text) != unicodedata.normalize("NFC", text):
+                    odd |= {x, *text}
+        self.odd = regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else None
+        self.new = regex.compile("[" + "".join(map(regex.escape, sorted(map(chr, self.lower)))) + "]") if self.lower else None
+        self.nfc = nfc
+
+    @staticmethod
+    def _class(kind: str, python: set[str], every: str) -> str:
+        """A set expression for what the library takes to be of this kind, without its brackets."""
+        own = set(regex.findall(rf"\p{{{kind}}}", every))
+        split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed", invert=True)
+        more, less = [], []
+        for x in sorted(own ^ python):
+            known = bool(split.pre_tokenize_str(x))
+            if known and x not in own:
+                more.append(x)
+            elif not known and x in own:
+                less.append(x)
+        span = lambda xs: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(xs))
+        return f"[\\p{{{kind}}}{span(more)}]" + (f"--[{span(less)}]" if less else "")
+
+    def normalized(self, text: str) -> str:
+        """NFC and lower case, as the library does them."""
+        text = self.nfc.normalize_str(text) if self.odd and self.odd.search(text) else unicodedata.normalize("NFC", text)
+        if self.new and self.new.search(text):
+            text = text.translate(self.lower)
+        return text.replace("\u03a3", "\u03c3").lower()  # final sigma is not told apart
+
+
+def _runs(xs: list[str]) -> list[tuple[int, int]]:
+    """Runs of neighbouring code points of sorted characters."""
+    out: list[tuple[int, int]] = []
+    for c in map(ord, xs):
+        if out and out[-1][1] == c - 1:
+            out[-1] = out[-1][0], c
+        else:
+            out.append((c, c))
+    return out
+
+
+@lru_cache(maxsize=1)
+def tables() -> Tables:
+    return Tables()
+
+
+#: Pre-token patterns by the tokenizer's kind, L and N for the sets of letters and numbers; white space is the Unicode property in both.
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^\p{White_Space}[L][N]]+"
+_BYTE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^\p{White_Space}[L][N]]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Bytes of a pre-token read at a time, characters of a text.
+PIECE, SLICE = 2048, 1 << 16
+_SPACE = regex.compile(r"(?<!\p{White_Space})\p{White_Space}")
+
+
+def pattern(text: str) -> regex.Pattern:
+    found = tables()
+    return regex.compile(text.replace("[L]", f"[{found.letters}]").replace("[N]", f"[{found.numbers}]"), regex.V1)
 
 
 class Codec:
@@ -215,60 +291,71 @@ class Codec:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = self.merges.names | {i: t for t, i in self.specials.items()}
         self.numbers = {i: str(i) for i in self.names}
-        self._pattern = regex.compile(_WORD if self.words else _BYTE)
+        self._pattern = pattern(_WORD if self.words else _BYTE)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self._memo: dict[str, tuple[int, ...]] = {}
         self._raw = {i: t.encode() for t, i in self.specials.items()} | {i: self.merges.text[s] for s, i in enumerate(self.merges.ids) if i >= 0}
 
     def _piece(self, token: str) -> tuple[int, ...]:
         raw = token.encode("utf-8", "surrogatepass")
-        if len(raw) > _LONG:
-            symbols = self.merges.stream(raw[i : i + _LONG] for i in range(0, len(raw), _LONG))
-            return tuple(self.merges.ids[s] for s in symbols)
-        out = tuple(self.merges.ids[s] for s in self.merges.encode(raw))
+        out = tuple([self.merges.ids[s] for s in self.merges.encode(raw)])
         if len(raw) <= 64:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
             self._memo[token] = out
         return out
 
-    def _plain(self, text: str) -> list[int]:
-        if self.words:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # final sigma is not told apart
-            text = text.lower()
-        memo, piece = self._memo, self._piece
-        return list(chain.from_iterable([memo.get(t) or piece(t) for t in self._pattern.findall(text)]))
+    def _plain(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text without special tokens, a slice at a time. Slices begin with white space, which no
+        pre-token, composition or case form reaches over."""
+        low, memo, piece = 0, self._memo, self._piece
+        while low < len(text):
+            cut = _SPACE.search(text, low + SLICE) if low + SLICE < len(text) else None
+            part = text[low : cut.start()] if cut else text[low:]
+            low += len(part)
+            if self.words:
+                part = part.lower() if part.isascii() else tables().normalized(part)
+            yield list(chain.from_iterable([memo.get(t) or piece(t) for t in self._pattern.findall(part)]))
+
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """Ids of a whole text, a slice at a time, special tokens found in it included, none added."""
+        at = 0
+        for m in self._special.finditer(text) if self._special else ():
+            yield from self._plain(text[at : m.start()])
+            yield [self.specials[m[0]]]
+            at = m.end()
+        yield from self._plain(text[at:] if at else text)
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, special tokens found in it included, none added."""
-        if self._special is None or not self._special.search(text):
-            return self._plain(text)
-        out: list[int] = []
-        for part in self._special.split(text):
-            out += [self.specials[part]] if part in self.specials else self._plain(part)
-        return out
+        """Ids of a whole text."""
+        return list(chain.from_iterable(self.parts(text)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special tokens kept."""
-        return "".join(self.decode_stream(ids))
-
-    def decode_stream(self, ids: list[int]) -> Iterator[str]:
-        """The text of ids in pieces: a state machine that holds at most one token or character."""
-        if self.words:
-            names, first = self.names, True
-            for at in range(0, len(ids), 4096):
-                yield ("" if first else " ") + " ".join([names[i] for i in ids[at : at + 4096]])
-                first = False
-            return
-        import codecs
-
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            if text := state.decode(self._raw[i]):
-                yield text
-        if text := state.decode(b"", True):
-            yield text
+        state = self.decoder()
+        return state.feed(ids) + state.end()
+
+    def decoder(self) -> Decoder:
+        return Decoder(self)
+
+
+class Decoder:
+    """A state machine from ids to text: it holds whether a word came before, or an unfinished character."""
+
+    def __init__(self, codec: Codec):
+        self.names, self.raw, self.first = codec.names if codec.words else None, codec._raw, True
+        self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        """The text that these further ids add."""
+        if self.names is None:
+            return self.bytes.decode(b"".join([self.raw[i] for i in ids]))
+        lead = "" if self.first or not ids else " "
+        self.first = self.first and not ids
+        return lead + " ".join([self.names[i] for i in ids])
+
+    def end(self) -> str:
+        return self.bytes.decode(b"", True) if self.names is None else ""
 
 
 @lru_cache(maxsize=2)
@@ -300,15 +387,20 @@ def tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
         for b in batches:
             counts, first, second, lists = [], [], [], []
             for text in b.column(1).to_pylist():
-                ids = codec.encode(text or "")
-                counts.append(len(ids))
-                first.append(hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest())
-                digest = hashlib.sha256()
-                for piece in codec.decode_stream(ids):
-                    digest.update(piece.encode())
-                second.append(digest.hexdigest())
+                n, own, one, two, state = 0, [], hashlib.sha256(), hashlib.sha256(), codec.decoder()
+                for ids in codec.parts(text or ""):
+                    if ids:
+                        one.update(((" " if n else "") + " ".join([numbers[i] for i in ids])).encode())
+                        two.update(state.feed(ids).encode())
+                        n += len(ids)
+                    if with_ids:
+                        own += ids
+                two.update(state.end().encode())
+                counts.append(n)
+                first.append(one.hexdigest())
+                second.append(two.hexdigest())
                 if with_ids:
-                    lists.append(ids)
+                    lists.append(own)
             cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), names=["i", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 

@@ -579,3 +579,57 @@ def test_recall_of_lines_with_words_replaced(spark, words):
     got = sum(n for ((n,),) in by_id(lines.report(documents(spark, texts), min_words=1), "n_removed").values())
     assert pairs > 60
     assert 0.9 * pairs <= got <= pairs
+
+
+# --- byte pairs, further ---------------------------------------------------------------------
+
+
+def naive_pairs(raw, ranks):
+    """Lowest rank first, leftmost first, one merge at a time."""
+    parts = [bytes([b]) for b in raw]
+    while True:
+        found = [(ranks[a, b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (a, b) in ranks]
+        if not found:
+            return parts
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_stream_equals_naive_merging_on_random_merge_lists():
+    rng = random.Random(16)
+    for _ in range(30):
+        symbols, merges = ["a", "b", "c"], []
+        while len(merges) < 14:
+            pair = rng.choice(symbols), rng.choice(symbols)
+            if "".join(pair) not in symbols and len("".join(pair)) <= 9:
+                merges.append(pair)
+                symbols.append("".join(pair))
+        own = bpe.Merges({x: i for i, x in enumerate(symbols)}, merges)
+        ranks = {(a.encode(), b.encode()): i for i, (a, b) in enumerate(merges)}
+        for n in (1, 2, 7, 30, 400):
+            raw = "".join(rng.choice("abc") for _ in range(n)).encode()
+            want = naive_pairs(raw, ranks)
+            for step in (1, 5, n):
+                got = [own.text[s] for s in own.stream(raw[i : i + step] for i in range(0, n, step))]
+                assert got == want, (merges, raw, step)
+
+
+def test_every_code_point_reads_as_in_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec, library = bpe.Codec(bpe.read_vocabulary(path)), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for low in range(0, len(points), 256):
+        text = " ".join(f"a{x}b {x} 1{x}́" for x in points[low : low + 256])
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(points[low]))
+
+
+def test_slices_of_a_text_change_nothing(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec, library = bpe.Codec(bpe.read_vocabulary(path)), Tokenizer.from_file(path)
+    text = "É á ́b  ΑΣ Σ <|endoftext|>x\n\n½ don't 漢字" * 40
+    want = library.encode(text, add_special_tokens=False).ids
+    for size in (1, 3, 64):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        assert codec.encode(text) == want
+        state = codec.decoder()
+        assert "".join(state.feed(x) for x in codec.parts(text)) + state.end() == library.decode(want, skip_special_tokens=False)
