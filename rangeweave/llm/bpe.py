@@ -72,10 +72,16 @@ class Merges:
         self.inner: list[int] = [-1]
         self.final: list[int] = [-1]
         ends = {256 + b for b in range(256)} if suffix else set()
+        self._joins: dict[int, bool] = {}
+        # A symbol whose bytes are taken apart by earlier rules is never made, and left out.
+        made = [True] * 512
         for s, raw in enumerate(self.text):
-            if s >= 512 and self.split[s][1] in ends:
-                ends.add(s)
-            if 256 <= s < 512 and not suffix:
+            if s >= 512:
+                a, b = self.split[s]
+                made.append(made[a] and made[b] and self._kept(a, b, s - 512))
+                if b in ends:
+                    ends.add(s)
+            if 256 <= s < 512 and not suffix or not made[s]:
                 continue
             node = 0
             for byte in raw:
@@ -88,7 +94,6 @@ class Merges:
             (self.final if s in ends else self.inner)[node] = s
         self.lengths = list(map(len, self.text))
         self.longest = max(self.lengths)
-        self._joins: dict[int, bool] = {}
 
     @cached_property
     def far(self) -> int:
@@ -119,23 +124,26 @@ class Merges:
         key = a << 32 | b
         if (known := self._joins.get(key)) is not None:
             return known
-        x, y, px, py, ok = a, b, _NEVER, _NEVER, True
+        ok = self._kept(a, b, _NEVER)
+        if len(self._joins) >= MEMO:
+            self._joins.clear()
+        self._joins[key] = ok
+        return ok
+
+    def _kept(self, a: int, b: int, limit: int) -> bool:
+        """Whether no rule before rule `limit` reaches over the boundary of a and b."""
+        x, y, px, py = a, b, limit, limit
         pair, split = self.pair, self.split
         while True:
             rank = pair.get((x, y))
-            if rank is not None and rank < px and rank <= py:
-                ok = False
-                break
+            if rank is not None and rank < px and rank <= py and rank < limit:
+                return False
             if x >= 512 and x > y:
                 px, x = x - 512, split[x][1]
             elif y >= 512:
                 py, y = y - 512, split[y][0]
             else:
-                break
-        if len(self._joins) >= MEMO:
-            self._joins.clear()
-        self._joins[key] = ok
-        return ok
+                return True
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Symbols of one pre-token that comes in pieces, each as soon as it is stable.
