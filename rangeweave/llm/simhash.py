@@ -279,7 +279,8 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """docs whose id names its component in found (id_col, component_id), once each, and those without an id."""
-    ids = stage(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("c")))
-    once = docs.join(ids.where("c = 1").select(id_col), id_col, "left_semi")
-    more = docs.join(ids.where("c > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
+    marks = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("c"), F.max(F.col(id_col) == F.col("component_id")).alias("keep"))
+    marks = stage(marks.where("not keep or c > 1"))
+    once = docs.join(stage(marks.select(id_col)), id_col, "left_anti")
+    more = docs.join(stage(marks.where("keep").select(id_col)), id_col, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(more.select(*[F.col(f"`{c}`") for c in docs.columns]))
