@@ -17,6 +17,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
@@ -152,7 +153,6 @@ class Merges:
         start in the newest bytes wait for more, as a longer one may start there too.
         """
         data, last, done = bytearray(), [-1], 0
-        nexts, inner, apart, lengths = self.next, self.inner, self.apart, self.lengths
         source, piece = iter(pieces), None
         while True:
             ahead = next(source, None)
@@ -162,40 +162,50 @@ class Merges:
             end = ahead is None
             data += piece or b""
             last += [-1] * (len(data) + 1 - len(last))
-            n = len(data)
-            for start in range(done, n if end else max(done, n - self.longest)):
-                before, node, at = last[start], 0, start
-                while at < n:
-                    node = nexts[node].get(data[at], -1)
-                    if node < 0:
-                        break
-                    at += 1
-                    s = self.final[node] if end and at == n and self.suffix else inner[node]
-                    if s >= 0 and last[at] < 0 and (before < 0 or apart(before, s)):
-                        last[at] = s
-                done = start + 1
             if end:
-                break
-            piece = ahead
+                self._advance(data, last, done, len(data), True)
+                yield from self._back(last, len(data))
+                return
+            stop = max(done, len(data) - self.longest)
+            self._advance(data, last, done, stop, False)
+            done, piece = stop, ahead
             if done > 2 * self.far:
-                out, i, cut = [], done, 0
-                while i:
-                    if i <= done - self.far:  # far enough behind: this boundary is stable, and so are those before it
-                        cut = cut or i
-                        out.append(last[i])
-                    i -= lengths[last[i]]
-                yield from reversed(out)
+                cut = done
+                while cut > done - self.far:  # a boundary this far behind is stable, and so are those before it
+                    cut -= self.lengths[last[cut]]
+                yield from self._back(last, cut)
                 del data[:cut], last[:cut]
                 done -= cut
-        out, i = [], len(data)
-        while i:
-            out.append(last[i])
-            i -= lengths[last[i]]
-        yield from reversed(out)
+
+    def _advance(self, data: bytes | bytearray, last: list[int], low: int, high: int, end: bool) -> None:
+        """Find the symbols that start at low to high. end: the data end the pre-token."""
+        nexts, inner, apart, n = self.next, self.inner, self.apart, len(data)
+        for start in range(low, high):
+            before, node, at = last[start], 0, start
+            while at < n:
+                node = nexts[node].get(data[at], -1)
+                if node < 0:
+                    break
+                at += 1
+                s = self.final[node] if end and at == n and self.suffix else inner[node]
+                if s >= 0 and last[at] < 0 and (before < 0 or apart(before, s)):
+                    last[at] = s
+
+    def _back(self, last: list[int], n: int) -> list[int]:
+        """The symbols of the first n bytes."""
+        out = []
+        while n:
+            out.append(last[n])
+            n -= self.lengths[last[n]]
+        return out[::-1]
 
     def encode(self, raw: bytes) -> list[int]:
-        """Symbols of one whole pre-token."""
-        return list(self.stream([raw[i : i + PIECE] for i in range(0, len(raw), PIECE)] if len(raw) > PIECE else (raw,)))
+        """Symbols of one whole pre-token. One that comes in a single piece needs no buffer."""
+        if len(raw) > PIECE:
+            return list(self.stream([raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]))
+        last = [-1] * (len(raw) + 1)
+        self._advance(raw, last, 0, len(raw), True)
+        return self._back(last, len(raw))
 
 
 class Tables:
@@ -210,6 +220,7 @@ class Tables:
         every = "".join([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
         unknown = regex.findall(r"\p{Cn}", every)
         kinds = [(x, unicodedata.category(x)) for x in every]
+        self.rare: set[str] = set()
         self.letters, self.numbers = (self._class(kind, {x for x, k in kinds if k[0] == kind}, every) for kind in "LN")
         lower, nfc = normalizers.Lowercase(), normalizers.NFC()
         new = {x for x, k in kinds if k == "Cn"} - set(unknown)
@@ -226,12 +237,10 @@ class Tables:
                 text = unicodedata.normalize("NFD", x)
                 if nfc.normalize_str(text) != unicodedata.normalize("NFC", text):
                     odd |= {x, *text}
-        self.odd = regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else None
-        self.new = regex.compile("[" + "".join(map(regex.escape, sorted(map(chr, self.lower)))) + "]") if self.lower else None
+        self.rare |= odd | set(map(chr, self.lower))
         self.nfc = nfc
 
-    @staticmethod
-    def _class(kind: str, python: set[str], every: str) -> str:
+    def _class(self, kind: str, python: set[str], every: str) -> str:
         """A set expression for what the library takes to be of this kind, without its brackets."""
         own = set(regex.findall(rf"\p{{{kind}}}", every))
         split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed", invert=True)
@@ -242,14 +251,20 @@ class Tables:
                 more.append(x)
             elif not known and x in own:
                 less.append(x)
+        self.rare.update(more, less)
         span = lambda xs: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(xs))
         return f"[\\p{{{kind}}}{span(more)}]" + (f"--[{span(less)}]" if less else "")
 
-    def normalized(self, text: str) -> str:
+    def has_rare(self, text: str) -> bool:
+        """Whether the text holds a character that Python's tables are not sure to have right."""
+        return not self.rare.isdisjoint(text.encode("utf-8", "surrogatepass").translate(None, _ASCII).decode("utf-8", "surrogatepass"))
+
+    def normalized(self, text: str, rare: bool) -> str:
         """NFC and lower case, as the library does them."""
-        text = self.nfc.normalize_str(text) if self.odd and self.odd.search(text) else unicodedata.normalize("NFC", text)
-        if self.new and self.new.search(text):
-            text = text.translate(self.lower)
+        if rare:
+            text = self.nfc.normalize_str(text).translate(self.lower)
+        else:
+            text = unicodedata.normalize("NFC", text)
         return text.replace("\u03a3", "\u03c3").lower()  # final sigma is not told apart
 
 
@@ -274,12 +289,15 @@ _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^\p{White_Space}[L][N]]+"
 _BYTE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^\p{White_Space}[L][N]]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of a pre-token read at a time, characters of a text.
 PIECE, SLICE = 2048, 1 << 16
+_ASCII = bytes(range(128))
+_WORD_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _SPACE = regex.compile(r"(?<!\p{White_Space})\p{White_Space}")
 
 
-def pattern(text: str) -> regex.Pattern:
-    found = tables()
-    return regex.compile(text.replace("[L]", f"[{found.letters}]").replace("[N]", f"[{found.numbers}]"), regex.V1)
+def pattern(text: str, exact: bool) -> regex.Pattern:
+    """The pattern with the library's sets of letters and numbers, or with those of the regex module for texts without rare characters."""
+    letters, numbers = (tables().letters, tables().numbers) if exact else (r"[\p{L}]", r"[\p{N}]")
+    return regex.compile(text.replace("[L]", f"[{letters}]").replace("[N]", f"[{numbers}]"), regex.V1)
 
 
 class Codec:
@@ -299,7 +317,9 @@ class Codec:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = self.merges.names | {i: t for t, i in self.specials.items()}
         self.numbers = {i: str(i) for i in self.names}
-        self._pattern = pattern(_WORD if self.words else _BYTE)
+        kind = _WORD if self.words else _BYTE
+        self._pattern, self._exact = pattern(kind, False), pattern(kind, True)
+        self._ascii = _WORD_ASCII if self.words else self._pattern
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self._memo: dict[str, tuple[int, ...]] = {}
         self._raw = {i: t.encode() for t, i in self.specials.items()} | {i: self.merges.text[s] for s, i in enumerate(self.merges.ids) if i >= 0}
@@ -321,9 +341,14 @@ class Codec:
             cut = _SPACE.search(text, low + SLICE) if low + SLICE < len(text) else None
             part = text[low : cut.start()] if cut else text[low:]
             low += len(part)
-            if self.words:
-                part = part.lower() if part.isascii() else tables().normalized(part)
-            yield list(chain.from_iterable([memo.get(t) or piece(t) for t in self._pattern.findall(part)]))
+            find = self._ascii
+            if not part.isascii():
+                rare = tables().has_rare(part)
+                find = self._exact if rare else self._pattern
+                part = tables().normalized(part, rare) if self.words else part
+            elif self.words:
+                part = part.lower()
+            yield list(chain.from_iterable([memo.get(t) or piece(t) for t in find.findall(part)]))
 
     def parts(self, text: str) -> Iterator[list[int]]:
         """Ids of a whole text, a slice at a time, special tokens found in it included, none added."""
