@@ -40,13 +40,14 @@ def main(args: list[str] | None = None) -> int:
         return 0
     if a.command == "compress" and bool(a.output) == a.batch:
         top.error("compress needs an output, or --batch and no output")
-    folder = a.out or (getattr(a, "output", None) if a.command == "compress" else None) or (a.input if a.batch else os.path.dirname(a.input) or ".")
+    single = a.output if a.command == "compress" else None  # the file that a single input becomes
+    folder = a.out or (os.path.dirname(single) or "." if single else a.input if a.batch else os.path.dirname(a.input) or ".")
     builder = SparkSession.builder.appName("rangeweave")
     if "SPARK_MASTER" not in os.environ and SparkSession.getActiveSession() is None:
         builder = builder.master(f"local[{a.workers}]")
     spark = builder.getOrCreate()
     if a.command == "compress":
-        done = batch.compress(spark, a.input, folder, CodecParams(tile=a.tile, energy_threshold=a.energy_thresh))
+        done = batch.compress(spark, a.input, folder, CodecParams(tile=a.tile, energy_threshold=a.energy_thresh), skip=a.batch, output=os.path.basename(single) if single else None)
     else:
         done = batch.decompress(spark, a.input, folder, CodecParams(iterations=a.iter, eps=a.eps))
     if a.batch:

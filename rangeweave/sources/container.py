@@ -21,6 +21,8 @@ MAGIC, VERSION = b"FWAV", 1
 _HEAD = struct.Struct("<4sBIIBHHfIII32s")
 _MATCH = np.dtype([("dom", "<i4"), ("s", "<f4"), ("o", "<f4"), ("sym", "i1"), ("err", "<f4")])
 
+_HEAD_COLUMNS = ["sid", "range_size", "framerate", "sampwidth", "tile", "step", "energy_threshold", "n_ranges", "n_domains", "n", "error"]
+
 
 @dataclass(frozen=True)
 class Header:
@@ -94,28 +96,41 @@ def contents(matches: DataFrame, domains: DataFrame, signals: DataFrame, p) -> D
     return flat.groupBy("sid").applyInPandas(one, "sid string, content binary")
 
 
-def parse(files: DataFrame, *, verify: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(headers, domains, matches) of rows (path, content); sid is the path. A bad file raises."""
+def parse(files: DataFrame, *, verify: bool = True, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(headers, domains, matches) of rows (path, content); sid is the path.
+
+    A bad file raises; unless strict, it has a header row of nulls that says why in `error`, and no
+    other rows.
+    """
 
     def rows_of(kind: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    h, tiles, m = unpack(content.as_py(), verify=verify)
+                    try:
+                        h, tiles, m = unpack(content.as_py(), verify=verify)
+                    except (ValueError, struct.error) as e:
+                        if strict:
+                            raise
+                        if kind == "head":
+                            blank = [pa.array([path])] + [pa.nulls(1, pa.int64())] * 5 + [pa.nulls(1, pa.float64())] + [pa.nulls(1, pa.int64())] * 3 + [pa.array([str(e)])]
+                            yield pa.RecordBatch.from_arrays(blank, names=_HEAD_COLUMNS)
+                        continue
                     if kind == "head":
-                        cols = {"sid": [path], "range_size": [h.range_size], "framerate": [h.framerate], "sampwidth": [h.sampwidth], "tile": [h.tile_size], "step": [h.domain_step], "energy_threshold": [float(h.energy_threshold)], "n_ranges": [h.n_ranges], "n_domains": [h.n_domains], "n": [h.original_len]}
+                        cols = {"sid": [path], "range_size": [h.range_size], "framerate": [h.framerate], "sampwidth": [h.sampwidth], "tile": [h.tile_size], "step": [h.domain_step], "energy_threshold": [float(h.energy_threshold)], "n_ranges": [h.n_ranges], "n_domains": [h.n_domains], "n": [h.original_len], "error": [None]}
                     elif kind == "tiles":
                         cols = {"sid": [path] * len(tiles), "dom": np.arange(len(tiles)), "tile": list(tiles.astype(np.float64))}
                     else:
                         cols = {"sid": [path] * len(m), "rid": np.arange(len(m)), "dom": m["dom"].astype(np.int64), "s": m["s"].astype(np.float64), "o": m["o"].astype(np.float64), "sym": m["sym"].astype(np.int32), "err": m["err"].astype(np.float64)}
-                    types = {"sid": pa.string(), "tile": pa.list_(pa.float64())} if kind == "tiles" else {"sid": pa.string()}
+                    types = {"sid": pa.string(), "error": pa.string()} | ({"tile": pa.list_(pa.float64())} if kind == "tiles" else {})
                     yield pa.RecordBatch.from_arrays([pa.array(v, types.get(c)) for c, v in cols.items()], names=list(cols))
 
         return run
 
     rows = files.select("path", "content")
-    heads = rows.mapInArrow(rows_of("head"), "sid string, range_size long, framerate long, sampwidth long, tile long, step long, energy_threshold double, n_ranges long, n_domains long, n long")
+    heads = rows.mapInArrow(rows_of("head"), "sid string, range_size long, framerate long, sampwidth long, tile long, step long, energy_threshold double, n_ranges long, n_domains long, n long, error string")
     tiles = rows.mapInArrow(rows_of("tiles"), "sid string, dom long, tile array<double>")
+    heads = heads.drop("error") if strict else heads
     return heads, tiles, rows.mapInArrow(rows_of("matches"), "sid string, rid long, dom long, s double, o double, sym int, err double")
 
 

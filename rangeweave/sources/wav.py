@@ -22,41 +22,45 @@ PIECE = 1 << 20
 GLOB = "*.[wW][aA][vV]"
 
 
+#: Samples of so many bytes as numbers, but for 3, which go through words of 4, and what is added to them when written.
+_KINDS = {1: "u1", 2: "<i2", 3: "<i4", 4: "<i4"}
+_SHIFT = {1: 128.0}
+
+
 def decode_pcm(raw: bytes, width: int, *, floating: bool = False, legacy: bool = False) -> np.ndarray:
     """Samples of little-endian PCM bytes of 1 to 4 bytes a sample, in double precision.
 
     Width 1 is unsigned, the others signed; width 4 is integer unless `floating`. legacy=True takes
     every 4-byte sample for a float, whatever the file says.
     """
-    if width == 1:
-        return np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128
-    if width == 2:
-        return np.frombuffer(raw, dtype="<i2").astype(np.float64)
-    if width == 3:
-        b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
-        x = b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
-        return (x - ((x & 0x800000) << 1)).astype(np.float64)
-    if width == 4:
-        return np.frombuffer(raw, dtype="<f4" if floating or legacy else "<i4").astype(np.float64)
-    raise ValueError(f"samples of {width} bytes are not supported")
+    if width not in _KINDS:
+        raise ValueError(f"samples of {width} bytes are not supported")
+    if width == 3:  # into the high bytes of a word; an arithmetic shift brings the sign along
+        words = np.zeros((len(raw) // 3, 4), dtype=np.uint8)
+        words[:, 1:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
+        return (words.view("<i4").ravel() >> 8).astype(np.float64)
+    kind = "<f4" if width == 4 and (floating or legacy) else _KINDS[width]
+    return np.frombuffer(raw, dtype=kind).astype(np.float64) - _SHIFT.get(width, 0.0)
 
 
 def encode_pcm(x: np.ndarray, width: int) -> bytes:
     """Bytes of samples: limited to the width and cut towards zero; width 4 is a raw float."""
-    if width == 1:
-        return np.clip(x + 128, 0, 255).astype(np.uint8).tobytes()
-    if width == 2:
-        return np.clip(x, -(1 << 15), (1 << 15) - 1).astype("<i2").tobytes()
-    if width == 3:
-        v = np.clip(x, -(1 << 23), (1 << 23) - 1).astype(np.int32)
-        return np.stack([v & 0xFF, v >> 8 & 0xFF, v >> 16 & 0xFF], axis=1).astype(np.uint8).tobytes()
+    if width not in _KINDS:
+        raise ValueError(f"samples of {width} bytes are not supported")
     if width == 4:
         return np.asarray(x, dtype="<f4").tobytes()
-    raise ValueError(f"samples of {width} bytes are not supported")
+    top = 1 << (8 * width - 1)
+    shift = _SHIFT.get(width, 0.0)
+    whole = np.clip(np.asarray(x) + shift, shift - top, shift + top - 1).astype(_KINDS[width])
+    return whole.view(np.uint8).reshape(len(whole), -1)[:, :width].tobytes() if len(whole) else b""
 
 
-def parse(data: bytes, *, legacy: bool = False) -> tuple[dict, np.ndarray]:
-    """Header fields and mono samples of a WAV file. Compressed formats are refused."""
+def parse(data: bytes, *, legacy: bool = False, unit: bool = False) -> tuple[dict, np.ndarray]:
+    """Header fields and mono samples of a WAV file. Compressed formats are refused.
+
+    unit: samples of 4 bytes come between -1 and 1, integers scaled and floats limited to that, as
+    they are written.
+    """
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, form, body = 12, None, None
@@ -80,6 +84,8 @@ def parse(data: bytes, *, legacy: bool = False) -> tuple[dict, np.ndarray]:
         raise ValueError(f"floats of {width} bytes are not supported")
     body = body[: len(body) // (width * channels) * width * channels]
     x = decode_pcm(body, width, floating=tag == 3, legacy=legacy)
+    if unit and width == 4:
+        x = x / (1 << 31) if tag == 1 and not legacy else np.clip(np.nan_to_num(x, nan=0.0), -1, 1)
     return {"framerate": rate, "sampwidth": width, "n_channels": channels}, x.reshape(-1, channels).mean(axis=1)
 
 
@@ -104,15 +110,15 @@ def read(spark: SparkSession, path: str, *, legacy: bool = False) -> tuple[DataF
     return from_files(list_files(spark, path), legacy=legacy)
 
 
-def from_files(files: DataFrame, *, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(signals, samples) of rows (path, content)."""
+def from_files(files: DataFrame, *, legacy: bool = False, unit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(signals, samples) of rows (path, content). unit: see parse()."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    h, x = parse(content.as_py(), legacy=legacy)
+                    h, x = parse(content.as_py(), legacy=legacy, unit=unit)
                     rows.append((path, path, h["framerate"], h["sampwidth"], h["n_channels"], len(x)))
                 except (ValueError, struct.error):
                     rows.append((path, path, None, None, None, None))
@@ -123,7 +129,7 @@ def from_files(files: DataFrame, *, legacy: bool = False) -> tuple[DataFrame, Da
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
-                    _, x = parse(content.as_py(), legacy=legacy)
+                    _, x = parse(content.as_py(), legacy=legacy, unit=unit)
                 except (ValueError, struct.error):
                     continue
                 for at in range(0, len(x), PIECE):

@@ -146,3 +146,60 @@ def test_container_frames_survive_spark(spark, tmp_path):
     assert (h.n_ranges, h.n_domains, h.original_len) == (18, 39, 70)
     assert got["dom"].tolist() == [r["dom"] for r in m.orderBy("rid").collect()]
     assert container.unpack(made["none"])[0].n_ranges == 0
+
+
+def folder_round_trip(spark, tmp_path, files, tiles):
+    """SNR of every file after compression, each with its own tile, and one decompression of all."""
+    source, coded, back = (tmp_path / n for n in ("in", "coded", "back"))
+    for name, data in files.items():
+        one = source / name.replace(".", "_")
+        one.mkdir(parents=True)
+        (one / name).write_bytes(data)
+        batch.compress(spark, str(one), str(coded), CodecParams(tile=tiles[name], top_k=8, scale_mode="stored"))
+    done = batch.decompress(spark, str(coded), str(back), CodecParams(scale_mode="stored"))
+    assert done.where("error is not null").count() == 0
+    out = {}
+    for name, data in files.items():
+        x = wav.parse(data, unit=True)[1]
+        y = wav.parse((back / name).read_bytes(), unit=True)[1]
+        assert len(x) == len(y)
+        out[name] = 10 * np.log10((x**2).sum() / ((x - y) ** 2).sum())
+    return out, done
+
+
+def test_wide_samples_and_mixed_tiles_come_back(spark, tmp_path):
+    t = np.sin(np.arange(400) / 5)
+    write_wav(tmp_path / "whole.wav", 4, n=400)
+    files = {
+        "whole.wav": (tmp_path / "whole.wav").read_bytes(),
+        "float.wav": wav.build(1.5 * t, 8000, 4),
+        "small.wav": wav.build(9000 * t, 8000, 2),
+        "large.wav": wav.build(9000 * t, 8000, 2),
+    }
+    got, _ = folder_round_trip(spark, tmp_path / "x", files, {"whole.wav": 32, "float.wav": 32, "small.wav": 32, "large.wav": 64})
+    assert all(snr > 10 for snr in got.values()), got
+
+
+def test_a_broken_container_is_an_error_row(spark, tmp_path):
+    source, coded, back = (tmp_path / n for n in ("in", "coded", "back"))
+    source.mkdir()
+    write_wav(source / "a.wav", 2)
+    write_wav(source / "a.WAV", 2, n=120)
+    p = CodecParams(tile=32, top_k=8, scale_mode="stored")
+    assert batch.compress(spark, str(source), str(coded), p).where("error is null").count() == 2
+    assert sorted(os.listdir(coded)) == ["a.WAV.fwav", "a.wav.fwav"]
+    bad = bytearray((coded / "a.wav.fwav").read_bytes())
+    bad[-1] ^= 1
+    (coded / "b.fwav").write_bytes(bytes(bad))
+    (coded / "c.fwav").write_bytes(b"x")
+    rows = {os.path.basename(r["input"]): r for r in batch.decompress(spark, str(coded), str(back), p).collect()}
+    assert rows["b.fwav"]["error"] == "checksum mismatch"
+    assert "shorter" in rows["c.fwav"]["error"]
+    assert sorted(os.listdir(back)) == ["a.WAV.wav", "a.wav.wav"]
+    assert rows["a.wav.fwav"]["error"] is None
+
+
+def test_command_line_of_one_file(spark, tmp_path):
+    write_wav(tmp_path / "a.wav", 2, n=80)
+    assert cli.main(["compress", str(tmp_path / "a.wav"), str(tmp_path / "deep.bin"), "--tile", "32"]) == 0
+    assert container.unpack((tmp_path / "deep.bin").read_bytes())[0].original_len == 80
