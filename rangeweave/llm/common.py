@@ -18,9 +18,12 @@ BATCH_BYTES = 1 << 24
 def scratch(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which all executors share.
 
-    Where that setting is absent (tests on one machine) a temporary folder is set for the session.
+    Where that setting is absent and all runs on one machine (tests), a temporary folder is set for
+    the session. On a cluster that would lose rows, so there the setting must be present.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="rangeweave-")
         spark.conf.set("spark.checkpoint.dir", root)
