@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import Roller, mix64, stage, tune, unstage, word_hashes, word_spans
+from rangeweave.llm.common import Roller, likely, mix64, stage, tune, unstage, word_hashes, word_spans
 
 WINDOW = 20
 BLOCK = 6
@@ -177,7 +177,7 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Rows that repeat an id and its text are one text: a block counts once per (id, tag, p).
     mark = F.xxhash64("id", "tag", "p")
     again = stage(blocks.groupBy("h").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("h"))
-    hits = stage(blocks.join(again, "h").dropDuplicates(["id", "tag", "p"]))
+    hits = stage(likely(blocks, again, "h").join(again, "h"))
     unstage(index, least, again)
     # The first of each context; contexts of one block that are alike in all words are one.
     key = F.struct(F.col("id").isNull().alias("void"), "id", "tag", "p")
@@ -196,7 +196,7 @@ def factors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     checked = stage(windows.join(seen, ["h1", "h2"]).where(key > F.col("least")).select("id", "tag", "p"))
     unstage(hits, first, ends, windows)
     both = pointed.select("id", "tag", "b", F.lit(None).cast("int").alias("p")).unionByName(checked.select("id", "tag", F.lit(None).cast(pointed.schema["b"].dataType).alias("b"), "p"))
-    spans = stage(both.groupBy("id", "tag").agg(F.sort_array(F.collect_list("b")).alias("blocks"), F.sort_array(F.collect_set("p")).alias("checked")))
+    spans = stage(both.groupBy("id", "tag").agg(F.sort_array(F.collect_set("b")).alias("blocks"), F.sort_array(F.collect_set("p")).alias("checked")))
     unstage(pointed, checked)
     return texts, spans
 
