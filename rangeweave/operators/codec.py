@@ -31,8 +31,17 @@ def source_ranges(samples: DataFrame, p: CodecParams) -> DataFrame:
     return frames.ranges(live.join(loud, "sid", "left_semi"), p.R)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed in the shared folder of spark.checkpoint.dir, or persisted where that is unset."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def candidates(ranges: DataFrame, domains: DataFrame, p: CodecParams) -> DataFrame:
-    """Rows (sid, rid, rank, dom, score, r, tile): the top_k entries of each range that is loud enough."""
+    """Rows (sid, rid, rank, dom, score, r, tile): the top_k entries of each range that is loud enough.
+
+    Blocked and cell search settle what they read, as they read it several times, and move numbers
+    and embeddings only; r and tile join what they find.
+    """
     loud = frames.energy_prune(ranges, p.R, p.energy_threshold)
     positions = embed.live_positions(p.R, p.emb_dim) if p.R <= embed.UNROLL else None
     if p.query_mode == "range":
@@ -40,7 +49,13 @@ def candidates(ranges: DataFrame, domains: DataFrame, p: CodecParams) -> DataFra
     else:
         own = domains.select("sid", F.col("dom").alias("rid"), "emb")
         queries = loud.join(own, ["sid", "rid"])
-    return search.topk(queries, domains, p.top_k, p.emb_dim, on=["sid"], query="rid", entry="dom", positions=positions)
+    if p.search_mode == "exact":
+        return search.topk(queries, domains, p.top_k, p.emb_dim, on=["sid"], query="rid", entry="dom", positions=positions)
+    queries, domains = settled(queries.select("sid", "rid", "r", "emb")), settled(domains.select("sid", "dom", "tile", "emb"))
+    names = {"on": "sid", "query": "rid", "entry": "dom"}
+    asked, held = queries.select("sid", "rid", "emb"), domains.select("sid", "dom", "emb")
+    found = search.topk_blocked(asked, held, p.top_k, **names) if p.search_mode == "blocked" else search.topk_cells(asked, held, p.top_k, probes=p.probes, **names)
+    return found.join(queries.select("sid", "rid", "r"), ["sid", "rid"]).join(domains.select("sid", "dom", "tile"), ["sid", "dom"])
 
 
 def encode(samples: DataFrame, p: CodecParams) -> tuple[DataFrame, DataFrame, DataFrame]:

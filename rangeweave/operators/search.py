@@ -2,8 +2,9 @@
 
 exact: an equi-join on the signal and a ranked window, for many short signals; the rank limit is
 applied before and after the shuffle. blocked: blocks of queries against blocks of entries as
-matrix products, for few long signals. lsh: random projections find candidates, exact ranking
-follows, and queries with fewer than k candidates are searched exactly.
+matrix products, for few long signals. cells: entries lie in the cell of the centre they are most like, queries look into
+the best cells only, as blocks. lsh: random projections find candidates, exact ranking follows. In
+cells and lsh queries with fewer than k candidates are searched exactly.
 
 Scores are compared at SCORE_DIGITS decimals, equal ones by the entry's number, so that a rank does
 not hang on the last bit of a sum.
@@ -46,38 +47,91 @@ def topk(queries: DataFrame, entries: DataFrame, k: int | None, dim: int, *, on:
     return ranked(pairs, k, group=[*on, query], entry=entry)
 
 
-def topk_blocked(queries: DataFrame, entries: DataFrame, k: int | None, *, on: str, query: str, entry: str, emb: str = "emb", rows: int = 2048) -> DataFrame:
+def _best(s: np.ndarray, keys: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best scores of every row, ties to the smaller key."""
+    rows, cols = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k, None]) if k is not None and k < s.shape[1] else (g.ravel() for g in np.indices(s.shape))
+    order = np.lexsort((keys[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return (rows, cols) if k is None else (rows[nth < k], cols[nth < k])
+
+
+def _split(df: DataFrame, on: str, key: str, rows: int, dense: bool, name: str) -> DataFrame:
+    """df with the block of `rows` rows or so that each row falls into: by its number if those are dense, else by its hash."""
+    if dense:
+        return df.withColumn(name, F.floor(F.col(key) / rows))
+    sizes = df.groupBy(F.col(on).alias("__on")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__blocks"))
+    return df.join(sizes, F.col(on) == F.col("__on")).withColumn(name, F.pmod(F.xxhash64(key), F.col("__blocks"))).drop("__on", "__blocks")
+
+
+def topk_blocked(queries: DataFrame, entries: DataFrame, k: int | None, *, on: str, query: str, entry: str, emb: str = "emb", rows: int = 2048, dense: bool = True) -> DataFrame:
     """Exact top k of (on, query, emb) among (on, entry, emb) in blocks of `rows`: (on, query, entry, score, rank).
 
     Every block of entries is a group of its own, to which all query blocks of its signal come, so
-    the work spreads over as many tasks as there are blocks. k None: all entries, ranked.
+    the work spreads over as many tasks as there are blocks. k None: all entries, ranked. dense:
+    whether the numbers within `on` have few gaps, so that they can name the blocks.
     """
 
     def block(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.groupBy(on, F.floor(F.col(key) / rows).alias(f"{name}_b")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(emb).alias("v"))).alias(name))
+        return _split(df, on, key, rows, dense, f"{name}_b").groupBy(on, f"{name}_b").agg(F.collect_list(F.struct(F.col(key).cast("long").alias("key"), F.col(emb).alias("v"))).alias(name))
 
     right = block(entries, entry, "e")
-    homes = entries.select(on, F.floor(F.col(entry) / rows).alias("e_b")).distinct()
+    homes = _split(entries, on, entry, rows, dense, "e_b").select(on, "e_b").distinct()
     left = block(queries, query, "q").join(homes, on)
     pairs = left.join(right, [on, "e_b"]).select(on, "q", "e")
 
+    def matrix(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        keys, v = cell.values.field("key").to_numpy(), cell.values.field("v")
+        return keys, v.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sid, q, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys = np.array([x["key"] for x in e])
-                s = np.round(np.array([x["v"] for x in q]) @ np.array([x["v"] for x in e]).T, SCORE_DIGITS)
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                m = order.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid] * (len(q) * m), b.schema.field(0).type), pa.array(np.repeat([x["key"] for x in q], m)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())],
-                    names=[on, query, entry, "score"],
-                )
+            for n in range(b.num_rows):
+                (asked, q), (keys, e) = matrix(b.column(1)[n]), matrix(b.column(2)[n])
+                s = np.round(q @ e.T, SCORE_DIGITS)
+                at, of = _best(s, keys, k)
+                sid = b.column(0).take(pa.array(np.full(len(at), n)))
+                yield pa.RecordBatch.from_arrays([sid, pa.array(asked[at]), pa.array(keys[of]), pa.array(s[at, of])], names=[on, query, entry, "score"])
 
     kind = queries.schema[on].dataType.simpleString()
     found = pairs.mapInArrow(run, f"{on} {kind}, {query} long, {entry} long, score double")
     return ranked(found, k, group=[on, query], entry=entry)
 
 
+def _nearest(rows: DataFrame, centres: DataFrame, k: int, *, on: str, key: str, emb: str, slot: int = 1 << 16) -> DataFrame:
+    """Rows (on, key, cell): the k best centres of every row. Rows of a long signal are dealt over slots, each with all centres."""
+    sizes = rows.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / slot).alias("slots"))
+    left = rows.join(sizes, on).select(F.struct(on, F.pmod(F.xxhash64(key), F.col("slots")).alias("slot")).alias("space"), key, emb)
+    right = centres.join(sizes, on).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    right = right.select(F.struct(on, "slot").alias("space"), "cell", emb)
+    found = topk_blocked(left, right, k, on="space", query=key, entry="cell", emb=emb, dense=False)
+    return found.select(F.col(f"space.{on}").alias(on), key, "cell")
+
+
+def topk_cells(queries: DataFrame, entries: DataFrame, k: int, *, on: str, query: str, entry: str, emb: str = "emb", probes: int = 16, rows: int = 2048) -> DataFrame:
+    """Top k of (on, query, emb) among (on, entry, emb) in the `probes` best cells: (on, query, entry, score, rank).
+
+    Of n entries of a signal about sqrt(n), by their hash, are centres; each entry is in the cell of
+    its best centre, so a query meets about probes * sqrt(n) entries. With no more centres than
+    probes the result is exact. Of entries with one embedding the k smallest numbers count, as more
+    can never rank. Queries with fewer rows than they should have are searched in all cells.
+    """
+    sizes = entries.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    stride = F.greatest(F.floor(F.sqrt("n")), F.lit(1))
+    centres = entries.join(sizes, on).where(F.pmod(F.xxhash64(entry), stride) == 0).select(on, F.col(entry).alias("cell"), emb)
+    homes = _nearest(entries, centres, 1, on=on, key=entry, emb=emb)
+    same = W.partitionBy(on, "cell", emb).orderBy(entry)
+    held = entries.join(homes, [on, entry]).withColumn("__nth", F.row_number().over(same)).where(F.col("__nth") <= k)
+    asked = queries.join(_nearest(queries, centres, probes, on=on, key=query, emb=emb), [on, query])
+    space = F.struct(on, "cell").alias("space")
+    near = topk_blocked(asked.select(space, query, emb), held.select(space, entry, emb), k, on="space", query=query, entry=entry, emb=emb, rows=rows, dense=False)
+    found = ranked(near.select(F.col(f"space.{on}").alias(on), query, entry, "score"), k, group=[on, query], entry=entry)
+    # The shuffle behind found is planned once and read by both uses.
+    enough = found.groupBy(on, query).agg(F.count(F.lit(1)).alias("c")).join(sizes, on).where(F.col("c") >= F.least(F.lit(k), F.col("n"))).select(on, query)
+    rest = topk_blocked(queries.select(on, query, emb).join(enough, [on, query], "left_anti"), entries.select(on, entry, emb), k, on=on, query=query, entry=entry, emb=emb, rows=rows)
+    return found.join(enough, [on, query], "left_semi").unionByName(rest)
+
+
 def lsh_index(entries: DataFrame, *, emb: str = "emb", bucket: float = 0.5, tables: int = 12, seed: int = 7):
     """A fitted random-projection index over the entries."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

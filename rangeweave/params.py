@@ -12,6 +12,8 @@ class CodecParams:
     query_mode: embed ranges ("range") or search range i with the embedding of domain i
     ("domain_alias"). silence_mode: a range below the energy floor gets no domain ("sentinel") or
     domain 0 with infinite error ("domain0"). scale_mode: decode with "refit" or "stored" scales.
+    search_mode: "exact" for many short signals, "blocked" (exact too) and "cells" (approximate, with
+    `probes` cells a range) for few long ones.
     """
 
     tile: int = 1024
@@ -28,10 +30,12 @@ class CodecParams:
     query_mode: str = "range"
     silence_mode: str = "sentinel"
     scale_mode: str = "refit"
+    search_mode: str = "exact"
+    probes: int = 16
     mask: bool = True
 
     def __post_init__(self):
-        for name, allowed in (("query_mode", ("range", "domain_alias")), ("silence_mode", ("sentinel", "domain0")), ("scale_mode", ("refit", "stored"))):
+        for name, allowed in (("query_mode", ("range", "domain_alias")), ("silence_mode", ("sentinel", "domain0")), ("scale_mode", ("refit", "stored")), ("search_mode", ("exact", "blocked", "cells"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
         if self.emb_dim % 2:

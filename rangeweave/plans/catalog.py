@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeweave.functions import vec
+from rangeweave.functions import mel, vec
 from rangeweave.operators import codec, domains, embed, frames, match, metrics, search
 from rangeweave.params import CodecParams
-from rangeweave.sources import tables
+from rangeweave.sources import container, tables, wav
 
 P = CodecParams(tile=32, top_k=8)
 #: Voice activity at the values' own scale.
@@ -240,6 +240,20 @@ def topk_lsh(spark, sf_dir):
     return search.topk_lsh(q, e, 5, 64, query="q", entry="vec_id").select("q", "rank", "vec_id", r6("score"))
 
 
+@query
+def topk_ranges_blocked(spark, sf_dir):
+    """topk_range_domain by blocks, the way of long signals."""
+    p = CodecParams(tile=32, top_k=8, search_mode="blocked")
+    return pairs(spark, sf_dir, p).select("sid", "rid", "rank", "dom", r6("score"))
+
+
+@query
+def topk_ranges_cells(spark, sf_dir):
+    """Long signals searched in the best cells of their dictionaries only."""
+    x, p = kinds(spark, sf_dir), CodecParams(tile=32, top_k=8, search_mode="cells")
+    return codec.candidates(frames.ranges(x, p.R), codec.dictionary(x, p), p).select("sid", "rid", "rank", "dom", r6("score"))
+
+
 # --- matching --------------------------------------------------------------------------------
 
 
@@ -286,6 +300,13 @@ def _encoded(spark, sf_dir):
     return x, d, m
 
 
+@query
+def encode_blocked(spark, sf_dir):
+    """encode_matches with candidates found by blocks."""
+    p = CodecParams(tile=32, top_k=8, energy_threshold=2000.0, search_mode="blocked")
+    return _matches(codec.encode(users(spark, sf_dir), p)[2])
+
+
 @query
 def gather_tiles(spark, sf_dir):
     _, d, m = _encoded(spark, sf_dir)
@@ -331,6 +352,78 @@ def snr(spark, sf_dir):
     return metrics.snr(x, _decoded(spark, sf_dir, scale_mode="stored")).select("sid", r6("snr"))
 
 
+# --- files -----------------------------------------------------------------------------------
+
+RATE = 8000
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    """(sid, content) as rows of the binary source."""
+    return rows.select(F.col("sid").alias("path"), "content")
+
+
+def _waves(spark, sf_dir, width: int) -> DataFrame:
+    """A WAV file for each user: the values, 40 less in 8 bits, 150 times in wider ones."""
+    scaled = F.col("x") - 40 if width == 1 else F.col("x") * 150
+    x = users(spark, sf_dir).select("sid", "i", scaled.alias("x"))
+    heads = x.select("sid").distinct().select("sid", F.lit(RATE).alias("framerate"), F.lit(width).alias("sampwidth"))
+    return wav.contents(x, heads)
+
+
+@query
+def wav_file_bytes(spark, sf_dir):
+    """Headers and sizes of files that the WAV sink makes, and the first bytes of their samples."""
+    c = F.col("content")
+    return _waves(spark, sf_dir, 2).select("sid", F.length(c).cast("long").alias("n_bytes"), F.lower(F.hex(F.substring(c, 1, 48))).alias("head"))
+
+
+@query
+def wav_headers(spark, sf_dir):
+    """What the WAV scan reads of the headers of such files."""
+    found, _ = wav.from_files(_files(_waves(spark, sf_dir, 2)))
+    return found.select("sid", "framerate", "sampwidth", "n_channels", "n")
+
+
+@query
+def wav_samples_8(spark, sf_dir):
+    return wav.from_files(_files(_waves(spark, sf_dir, 1)))[1].select("sid", "i", "x")
+
+
+@query
+def wav_samples_24(spark, sf_dir):
+    return wav.from_files(_files(_waves(spark, sf_dir, 3)))[1].select("sid", "i", "x")
+
+
+def _containers(spark, sf_dir):
+    x, d, m = _encoded(spark, sf_dir)
+    heads = tables.lengths(x).select("sid", F.lit(RATE).alias("framerate"), F.lit(2).alias("sampwidth"), "n")
+    return container.parse(_files(container.contents(m, d, heads, QUIET)))
+
+
+@query
+def container_headers(spark, sf_dir):
+    """Headers of stored containers, read back."""
+    return _containers(spark, sf_dir)[0].select("sid", "range_size", "framerate", "sampwidth", "tile", "step", r6("energy_threshold"), "n_ranges", "n_domains", "n")
+
+
+@query
+def container_matches(spark, sf_dir):
+    """Matches of stored containers, read back: numbers are exact, the rest has 32 bits."""
+    return _containers(spark, sf_dir)[2].select("sid", "rid", "dom", "sym", F.round("s", 3).alias("s"))
+
+
+@query
+def container_tiles(spark, sf_dir):
+    """Dictionaries of stored containers, read back."""
+    return frames.elements(_containers(spark, sf_dir)[1], "tile").withColumn("x", F.round("x", 2))
+
+
+@query
+def mel_bank(spark, sf_dir):
+    """The non-zero weights of the default bank; a constant, it reads no table."""
+    return mel.mel_table(spark).select("mel", "bin", F.round("weight", 9).alias("weight"))
+
+
 @query
 def payload_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))

@@ -140,6 +140,39 @@ _EMBV = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings
 _VSCORE = "round(list_sum(list_transform(list_zip(q.emb, d.emb), lambda p: p[1] * p[2])), 9)"
 _WEIGHTS = [f"({w!r} * (1 + {f'abs(r[{j + 2}] - r[{j + 1}])' if j < R - 1 else '0.0'}))" for j, w in enumerate(_ramp(1.0, 0.5))]
 
+
+# --- files -----------------------------------------------------------------------------------------
+
+
+def _le(value: str, size: int) -> str:
+    """A number's little-endian bytes in lower-case hexadecimal digits."""
+    return " || ".join(f"printf('%02x', (CAST({value} AS BIGINT) >> {8 * j}) & 255)" for j in range(size))
+
+
+def _text(name: str) -> str:
+    return f"'{name.encode().hex()}'"
+
+
+#: A header of 16-bit mono samples at 8 kHz, and the first two samples.
+_WAV_HEAD = " || ".join([_text("RIFF"), _le("36 + 2 * n", 4), _text("WAVE"), _text("fmt "), _le("16", 4), _le("1", 2), _le("1", 2), _le("8000", 4), _le("16000", 4), _le("2", 2), _le("16", 2), _text("data"), _le("2 * n", 4), "samples"])
+
+
+def _cut(x: str, low: float, high: float) -> str:
+    return f"trunc(least(greatest({x}, {low}), {high}))"
+
+
+_P16 = f"p16 AS (SELECT sid, i, CAST({_cut('x * 150', -32768.0, 32767.0)} AS BIGINT) AS pcm FROM u)"
+_FIRST = f"first AS (SELECT sid, string_agg({_le('pcm', 2)}, '' ORDER BY i) AS samples FROM p16 WHERE i < 2 GROUP BY sid)"
+#: Signals of which something is stored, with the sizes of that.
+_STORED = """r_n AS (SELECT sid, count(*) AS n_ranges FROM matches GROUP BY sid), d_n AS (SELECT sid, count(*) AS n_domains FROM domains GROUP BY sid)"""
+_MEL = "(CASE WHEN {0} < 1000 THEN {0} * 3 / 200.0 ELSE 15 + 27 * ln({0} / 1000.0) / ln(6.4) END)"
+_HZ = "(CASE WHEN {0} < 15 THEN {0} * 200 / 3.0 ELSE 1000 * exp(({0} - 15) * ln(6.4) / 27) END)"
+_LOW, _HIGH = _MEL.format("20.0"), _MEL.format("22050.0")
+_EDGES = f"edges AS (SELECT k, {_HZ.format('m')} AS f FROM (SELECT k, {_LOW} + ({_HIGH} - {_LOW}) * k / 41.0 AS m FROM range(42) t(k)))"
+_BANK = """bank AS (SELECT CAST(a.k AS INTEGER) AS mel, CAST(b.bin AS INTEGER) AS bin,
+  greatest(0.0, least((b.bin * 44100 / 1024.0 - a.f) / (c.f - a.f), (d.f - b.bin * 44100 / 1024.0) / (d.f - c.f))) * 2 / (d.f - a.f) AS weight
+  FROM edges a JOIN edges c ON c.k = a.k + 1 JOIN edges d ON d.k = a.k + 2, range(513) b(bin))"""
+
 SQL = {
     "samples_indexed": _with(U, out="SELECT sid, i, round(x, 6) AS x FROM u"),
     "downmix_mean": "SELECT CAST(l_orderkey AS VARCHAR) AS sid, CAST(l_linenumber AS BIGINT) AS i, round(avg(x), 6) AS x FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS x FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_discount FROM lineitem) GROUP BY l_orderkey, l_linenumber",
@@ -180,7 +213,17 @@ SQL = {
     "convergence_pass": _with(*CODED, f"z AS (SELECT sid, {_V} AS v, {_F} AS f FROM g2, range({R}) p(pos)), abc AS (SELECT sid, sum(v * v) AS A, sum(v * f) AS B, sum(f * f) AS C FROM z GROUP BY sid)", out=f"SELECT sid, CAST({_STOP} AS INTEGER) AS passes FROM abc"),
     "overlap_average": _with(U, N, out="SELECT u.sid, u.i, round(avg(u.x), 6) AS x FROM (SELECT sid, unnest(range((n - 4) // 2 + 1)) AS frame FROM n WHERE n >= 4) k JOIN u ON u.sid = k.sid AND u.i BETWEEN 2 * k.frame AND 2 * k.frame + 3 GROUP BY u.sid, u.i"),
     "snr": _with(*CODED, _decode(_CLIP.format("s")), "q AS (SELECT u.sid, sum(u.x * u.x) AS a, sum((u.x - y.x) * (u.x - y.x)) AS b FROM u JOIN y ON u.sid = y.sid AND u.i = y.i GROUP BY u.sid)", out="SELECT sid, round(CASE WHEN b <= 0 THEN CAST('inf' AS DOUBLE) ELSE 10 * log10(a / b) END, 6) AS snr FROM q"),
+    "wav_file_bytes": _with(U, N, _P16, _FIRST, out=f"SELECT n.sid, 44 + 2 * n AS n_bytes, {_WAV_HEAD} AS head FROM n JOIN first ON n.sid = first.sid"),
+    "wav_headers": _with(U, N, out="SELECT sid, 8000 AS framerate, 2 AS sampwidth, 1 AS n_channels, n FROM n"),
+    "wav_samples_8": _with(U, out=f"SELECT sid, i, {_cut('x - 40 + 128', 0.0, 255.0)} - 128 AS x FROM u"),
+    "wav_samples_24": _with(U, out=f"SELECT sid, i, {_cut('x * 150', -8388608.0, 8388607.0)} AS x FROM u"),
+    "container_headers": _with(*CODED, _STORED, out=f"SELECT n.sid, CAST({R} AS BIGINT) AS range_size, CAST(8000 AS BIGINT) AS framerate, CAST(2 AS BIGINT) AS sampwidth, CAST({TILE} AS BIGINT) AS tile, CAST(1 AS BIGINT) AS step, {_THR} AS energy_threshold, coalesce(n_ranges, 0) AS n_ranges, CASE WHEN n_ranges > 0 THEN coalesce(n_domains, 0) ELSE 0 END AS n_domains, n FROM n LEFT JOIN r_n ON n.sid = r_n.sid LEFT JOIN d_n ON n.sid = d_n.sid"),
+    "container_matches": _with(*CODED, out="SELECT sid, rid, dom, sym, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 3) AS s FROM matches"),
+    "container_tiles": _with(*CODED, out=_flat("domains", "CAST(CAST(tile AS FLOAT[]) AS DOUBLE[])", "sid, dom").replace(", 6)", ", 2)") + " WHERE sid IN (SELECT sid FROM matches)"),
+    "mel_bank": _with(_EDGES, _BANK, out="SELECT mel, bin, round(weight, 9) AS weight FROM bank WHERE weight > 0"),
     "payload_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "pending_files": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "compression_ratio": _with(U, N, f"b AS (SELECT sid, n * 2 AS in_bytes, CAST(66 + 16 * CASE WHEN n < {TILE} THEN 0 ELSE n - {TILE} + 1 END + 17 * ceil(n / {R}) AS BIGINT) AS out_bytes FROM n)", out="SELECT sid, in_bytes, out_bytes, round(in_bytes / out_bytes, 6) AS ratio FROM b"),
 }
+#: Other ways to the same rows.
+SQL |= {"topk_ranges_blocked": SQL["topk_range_domain"], "encode_blocked": SQL["encode_matches"]}
