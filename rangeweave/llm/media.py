@@ -348,8 +348,9 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """One row per document, from its text stored as sound and read back.
 
     id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (the
-    sniffed type and length and every embedded medium), declared. Null and empty texts are 64
-    zeros. Repeated rows and null ids each give a row; other columns are not looked at; an empty
+    sniffed type and length and every embedded medium), media_type (sniffed), corrected (whether that
+    is another than declared at storing, which knew none), carved (type, offset, length and SHA-256
+    of every medium cut out). Null and empty texts are 64 zeros. Repeated rows and null ids each give a row; other columns are not looked at; an empty
     table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -357,16 +358,19 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, cut = [], []
             for media, found_type, inner in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 data = media.as_py()
+                cut.append([x | {"sha256": hashlib.sha256(data[x["offset"] : x["offset"] + x["length"]]).hexdigest()} for x in inner])
                 payload = from_wav(data)
                 text = ";".join([f"{found_type}+0:{len(data)}", *(f"{x['media_type']}+{x['offset']}:{x['length']}" for x in inner)])
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), text))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["i", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            names = ["i", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "carved"]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, b.column(3), b.column(5), pa.array(cut, carved)], names=names)
 
-    seen = inspect(stored).select("id", "n_bytes", "media", "media_type", "embedded")
-    out = seen.mapInArrow(run, f"i {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    carved = pa.list_(pa.struct([("media_type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))
+    seen = inspect(stored).select("id", "n_bytes", "media", "media_type", "embedded", "corrected")
+    out = seen.mapInArrow(run, f"i {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, carved array<struct<media_type:string,offset:long,length:long,sha256:string>>")
     return out.withColumnRenamed("i", id_col)

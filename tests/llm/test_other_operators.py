@@ -182,9 +182,16 @@ def test_features_equal_brute_force(spark):
             assert w.readframes(w.getnframes()) == payload
         assert r["feature"].startswith(f"audio/wav+0:{len(stored)}")
     assert by[2]["feature"] == by[7]["feature"]
+    assert all(r["corrected"] and r["media_type"] == "audio/wav" and not r["carved"] for r in got)
     assert media.features(df.where("false")).count() == 0
 
 
+def test_features_carve_what_a_text_holds(spark):
+    inner = samples()["application/pdf"]
+    got = media.features(spark.createDataFrame([(1, "before " + inner.decode() + " after")], "doc_id long, text string")).collect()
+    assert [r.asDict() for r in got[0]["carved"]] == [{"media_type": "application/pdf", "offset": 51, "length": len(inner), "sha256": hashlib.sha256(inner).hexdigest()}]
+
+
 # --- pages -----------------------------------------------------------------------------------
 
 
