@@ -8,6 +8,7 @@ mirror, then to the better similarity rank. Scales are clipped only after the ch
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rangeweave.functions import vec
@@ -77,14 +78,26 @@ def perceptual_error(tile: str, r: str, n: int, **options) -> Column:
     return F.sqrt(vec.total([g * g for g in gaps]))
 
 
-def best_weighted_match(pairs: DataFrame, n: int, *, group: list[str] = ("sid", "rid"), transient: float = 1.0, low: float = 0.25, high: float = 4.0) -> DataFrame:
+def best_weighted_match(pairs: DataFrame, n: int, *, group: list[str] = ("sid", "rid"), transient: float = 1.0, low: float = 0.25, high: float = 4.0, prune: bool = False) -> DataFrame:
     """Best match by the weighted error of a plain fit, among tiles of similar energy.
 
     Only tiles whose centred energy over the range's lies strictly between low and high are looked
-    at; scales are as fitted. Ranges left without a tile have no row. A bound on the error that
-    could prune weighted winners is not applied.
+    at; scales are as fitted. Ranges left without a tile have no row. prune: mirrored tiles count
+    only if the least plain error that their correlation allows is below the best weighted error of
+    the tiles as they are; weights of less than 1 can lose a winner that way.
     """
     ratio = vec.energy("__tc", n) / (vec.energy("__rc", n) + 1e-12)
     near = pairs.withColumn("__tc", vec.centred("tile", n)).withColumn("__rc", vec.centred("r", n)).withColumn("__ratio", ratio)
     near = near.where((F.col("__ratio") > low) & (F.col("__ratio") < high)).drop("__tc", "__rc", "__ratio")
-    return choose(both_ways(near, n, weights=perceptual_weights("r", n, transient=transient)), group=list(group), s_clip=float("inf"))
+    fits = both_ways(near, n, weights=perceptual_weights("r", n, transient=transient))
+    if prune:
+        plain = F.min(F.when(F.col("sym") == 0, F.col("err"))).over(W.partitionBy(*group))
+        fits = fits.withColumn("__plain", plain).withColumn("__tc", vec.centred("tile", n)).withColumn("__rc", vec.centred("r", n))
+        fits = fits.where((F.col("sym") == 0) | (least_error(F.col("__rc"), F.col("__tc"), n) < F.col("__plain")))
+    return choose(fits, group=list(group), s_clip=float("inf"))
+
+
+def least_error(rc: Column, tc: Column, n: int) -> Column:
+    """The least error of an unweighted fit that the correlation of two centred vectors allows."""
+    size = vec.norm(rc, n)
+    return F.round(size * F.sqrt(1 - F.pow(F.least(F.lit(1.0), vec.correlation_bound(rc, tc, n)), F.lit(2.0))), ERROR_DIGITS)

@@ -281,6 +281,11 @@ def affine_weighted(spark, sf_dir):
     return _matches(match.best_weighted_match(pairs(spark, sf_dir), P.R))
 
 
+@query
+def affine_weighted_pruned(spark, sf_dir):
+    return _matches(match.best_weighted_match(pairs(spark, sf_dir), P.R, prune=True))
+
+
 @query
 def perceptual_error(spark, sf_dir):
     return pairs(spark, sf_dir).select("sid", "rid", "rank", F.round(match.perceptual_error("tile", "r", P.R), 6).alias("err"))

@@ -140,6 +140,10 @@ _EMBV = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings
 _VSCORE = "round(list_sum(list_transform(list_zip(q.emb, d.emb), lambda p: p[1] * p[2])), 9)"
 _WEIGHTS = [f"({w!r} * (1 + {f'abs(r[{j + 2}] - r[{j + 1}])' if j < R - 1 else '0.0'}))" for j, w in enumerate(_ramp(1.0, 0.5))]
 
+_SIMILAR = "den / (ren + 1e-12) > 0.25 AND den / (ren + 1e-12) < 4"
+_LEAST = "round(sqrt(ren) * sqrt(1 - pow(least(1.0, CASE WHEN sqrt(den) < 1e-12 OR sqrt(ren) < 1e-12 THEN 0.0 ELSE abs(num) / (sqrt(ren) * sqrt(den)) END), 2)), 9)"
+_PRUNED = f"""w6 AS (SELECT *, min(CASE WHEN sym = 0 THEN err END) OVER (PARTITION BY sid, rid) AS plain, {_LEAST} AS least_err FROM w5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, rid ORDER BY err, sym, rank) AS nth FROM w6 WHERE sym = 0 OR least_err < plain) WHERE nth = 1)"""
 
 # --- files -----------------------------------------------------------------------------------------
 
@@ -204,6 +208,7 @@ SQL = {
     "affine_best_match": _with(*SEARCH, _fit(), out=_best("16.0")),
     "affine_nonflat_match": _with(*SEARCH, _fit(where="den >= 100"), out=_best("")),
     "affine_weighted": _with(*SEARCH, _fit(where="den / (ren + 1e-12) > 0.25 AND den / (ren + 1e-12) < 4", weights=_WEIGHTS), out=_best("")),
+    "affine_weighted_pruned": _with(*SEARCH, _fit(where=_SIMILAR, weights=_WEIGHTS).split(",\nbest AS")[0], _PRUNED, out=_best("")),
     "perceptual_error": _with(*SEARCH, out=f"SELECT sid, rid, rank, round(sqrt({' + '.join(f'pow((tile[{j + 1}] - r[{j + 1}]) * {w}, 2)' for j, w in enumerate(_WEIGHTS))}), 6) AS err FROM top"),
     "encode_matches": _with(*ENCODE, _MATCHES, out="SELECT sid, rid, dom, sym, round(s, 6) AS s, round(o, 6) AS o, round(err, 6) AS err FROM matches"),
     "gather_tiles": _with(*CODED, out=_flat("g", "t", "sid, rid").replace(" AS x", " AS x")),
