@@ -9,9 +9,13 @@ embedded media, which can be carved out. Also here: lossless storage of bytes as
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -26,6 +30,38 @@ RATE = 8000
 PAD = 64
 
 # --- validators: (bytes, offset) -> length, or 0 ---------------------------------------------
+# What lies anywhere further on is looked up in an index of the value, made once, so that a text full
+# of magic numbers is not searched to its end for each.
+
+
+def _places(d: bytes, mark: bytes) -> array:
+    return array("q", (m.start() for m in re.finditer(re.escape(mark), d)))
+
+
+@lru_cache(maxsize=1)
+def _pdf_marks(d: bytes) -> tuple[array, array]:
+    return _places(d, b"%%EOF"), _places(d, b"startxref")
+
+
+@lru_cache(maxsize=1)
+def _zip_ends(d: bytes) -> dict[int, int]:
+    """Where an archive must begin for a closing record to be its own, and where the first such archive ends."""
+    out: dict[int, int] = {}
+    for end in _places(d, b"PK\x05\x06"):
+        if end + 22 > len(d):
+            break
+        size, start = struct.unpack_from("<II", d, end + 12)
+        note = struct.unpack_from("<H", d, end + 20)[0]
+        i = end - size - start
+        if i >= 0 and end + 22 + note <= len(d) and (not size or d[i + start : i + start + 4] == b"PK\x01\x02"):
+            out.setdefault(i, end + 22 + note)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _gif_dead(d: bytes) -> set[int]:
+    """Sub-blocks known to lead past the end of the value; filled as they are met."""
+    return set()
 
 
 def _riff(d: bytes, i: int, form: bytes, need: set[bytes]) -> int:
@@ -73,9 +109,14 @@ def _gif(d: bytes, i: int) -> int:
     at = i + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
 
     def skip(at: int) -> int:
-        while at < len(d) and d[at]:
+        dead, met = _gif_dead(d), array("q")
+        while at < len(d) and d[at] and at not in dead:
+            met.append(at)
             at += 1 + d[at]
-        return at + 1
+        if at < len(d) and not d[at]:
+            return at + 1
+        dead.update(met)
+        return len(d)
 
     while at < len(d):
         if d[at] == 0x3B:
@@ -129,20 +170,15 @@ def _bmp(d: bytes, i: int) -> int:
 
 
 def _pdf(d: bytes, i: int) -> int:
-    if not d[i + 5 : i + 6].isdigit() or (end := d.find(b"%%EOF", i)) < 0 or d.find(b"startxref", i, end) < 0:
+    if not d[i + 5 : i + 6].isdigit():
         return 0
-    return end + 5 - i
+    ends, tables = _pdf_marks(d)
+    e, t = bisect_left(ends, i), bisect_left(tables, i)
+    return ends[e] + 5 - i if e < len(ends) and t < len(tables) and tables[t] + 9 <= ends[e] else 0
 
 
 def _zip(d: bytes, i: int) -> int:
-    end = d.find(b"PK\x05\x06", i)
-    while end >= 0 and end + 22 <= len(d):
-        size, start = struct.unpack_from("<II", d, end + 12)
-        note = struct.unpack_from("<H", d, end + 20)[0]
-        if i + start + size == end and end + 22 + note <= len(d) and (not size or d[i + start : i + start + 4] == b"PK\x01\x02"):
-            return end + 22 + note - i
-        end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+    return _zip_ends(d).get(i, i) - i
 
 
 def _gzip(d: bytes, i: int) -> int:

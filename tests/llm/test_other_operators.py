@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -154,6 +155,37 @@ def test_magic_over_slices_is_found(monkeypatch):
         assert media.sniff(b"." * shift + png()) == [("png", shift, len(png()))]
 
 
+def test_texts_full_of_magic_numbers_are_not_searched_to_the_end_for_each():
+    for part in (b"%PDF-1 ", b"PK\x03\x04PK\x05\x06", b"GIF89a!!!!!!!!!!"):
+        for tail in (b"", b"%%EOF"):
+            began = time.time()
+            assert media.sniff(part * 150_000 + tail) == []
+            assert time.time() - began < 20
+
+
+def test_indexed_validators_equal_a_plain_search():
+    rng = random.Random(4)
+    parts = [b"%PDF-1", b"%PDF-x", b"startxref", b"%%EOF", b"start", b".", samples()["application/zip"], samples()["application/zip"][:-1], b"PK\x03\x04", samples()["image/gif"], b"GIF89a!!", b"\0"]
+
+    def pdf(d, i):
+        end = d.find(b"%%EOF", i)
+        return end + 5 - i if d[i + 5 : i + 6].isdigit() and end >= 0 and d.find(b"startxref", i, end) >= 0 else 0
+
+    def archive(d, i):
+        own = samples()["application/zip"]
+        return len(own) if d.startswith(own, i) else 0
+
+    for _ in range(300):
+        d = b"".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        for i in range(len(d)):
+            if d.startswith(b"%PDF-", i):
+                assert media._pdf(d, i) == pdf(d, i)
+            if d.startswith(b"PK\x03\x04", i):
+                assert media._zip(d, i) == archive(d, i)
+            if d.startswith(samples()["image/gif"], i):
+                assert media._gif(d, i) == len(samples()["image/gif"])
+
+
 def test_inspection_and_carving(spark):
     rows = [(1, png() + b"tail" + samples()["image/gif"], "image/jpeg", "x"), (2, b"", "text/plain", "x"), (3, None, "text/plain", "x"), (4, b"text", "application/octet-stream", "x")]
     df = media.inspect(spark.createDataFrame(rows, "k long, media binary, declared string, embedded string"))
