@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rangeweave.llm.common import release, scratch, stage, tune
 
-#: Captures of one archive file; bounds what a reader holds.
-CAPTURES_PER_FILE = 500
+#: Captures, and bytes (but for the last capture), of one archive file; they bound what a reader holds.
+CAPTURES_PER_FILE, BYTES_PER_FILE = 500, 1 << 28
 DATE = "2024-01-01T00:00:00Z"
 _EMPTY = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 2, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 
@@ -48,7 +48,8 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
 
     Of captures with equal payloads of at least `least` bytes, the one with the largest id is the
     response and the others revisit it (their records carry no payload); smaller payloads are all
-    responses. A null payload is empty; null ids lose against others. Equal means equal SHA-1.
+    responses. A null payload is empty; null ids lose against others. Equal means equal SHA-1. The
+    archives of a task lie in folders numbered by the bytes it has written before.
     """
     tune(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
@@ -57,9 +58,12 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     refers = F.when((F.octet_length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.select("id", "url", "payload", refers.alias("refers"))
 
+    most = BYTES_PER_FILE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for b in batches:
-            out = []
+            out, archives = [], []
             for page, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 digest = payload_digest(payload)
                 uri = " ".join((url or "").split())
@@ -80,11 +84,13 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                 second = _record("request", _rid(page, digest, "request"), [target, ("WARC-Concurrent-To", main), ("Content-Type", "application/http;msgtype=request")], request)
                 third = _record("metadata", _rid(page, digest, "metadata"), [target, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], fields.encode())
                 out += [first, second, third]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                archives += [written // most] * 3
+                written += len(first) + len(second) + len(third)
+            yield pa.RecordBatch.from_arrays([pa.array(archives, pa.int32()), pa.array(out, pa.binary())], names=["archive", "value"])
 
-    records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records = rows.mapInArrow(run, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
     options = {"lineSep": _EMPTY.decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": 3 * CAPTURES_PER_FILE}
-    records.write.options(**options).text(path)
+    records.write.partitionBy("archive").options(**options).text(path)
     release(pages.sparkSession)
 
 

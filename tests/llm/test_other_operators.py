@@ -92,6 +92,17 @@ def test_assembly_nests_all_parts_and_payloads(spark):
     assert all(r["request"] is None for r in partial)
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 20_000)
+    rng = random.Random(1)
+    rows = [(i, "http://h/x", "".join(rng.choices("abcdefgh", k=10_000))) for i in range(40)]
+    path = f"file://{tmp_path}/archives"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = list((tmp_path / "archives").rglob("part-*.txt"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 30_000
+    assert sorted(len(r["payload"]) for r in warc.read(spark, path).where("kind = 'response'").collect()) == [10_000] * 40
+
+
 def test_captures_of_nothing_and_bad_archives(spark):
     assert warc.captures(page_table(spark, [])).count() == 0
     with pytest.raises(ValueError, match="gzip"):
