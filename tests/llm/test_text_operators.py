@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -245,6 +246,50 @@ def test_distance_equals_the_table():
         assert lines.distance(a, b, 3) == min(d, 4) or lines.distance(a, b, 3) == 4
 
 
+def test_pairs_in_step_equal_one_by_one():
+    rng = random.Random(11)
+    for letters in ("ab", "abcdef é", [chr(300 + k) for k in range(400)], "a漢😀"):
+        for top in (3, 64, 300):
+            a = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, top + 1))) for _ in range(40)]
+            b = []
+            for x in a:
+                y = list(x)
+                for _ in range(rng.randrange(rng.choice([2, 8, 60]))):
+                    at = rng.randrange(len(y) + 1)
+                    y[at : at + rng.randrange(2)] = rng.choice(["", *letters[:2]])
+                b.append("".join(y) or "a")
+            limits = [abs(len(x) - len(y)) + rng.randrange(12) for x, y in zip(a, b, strict=True)]
+            assert lines.within(a, b, limits).tolist() == [lines.distance(x, y, k) <= k for x, y, k in zip(a, b, limits, strict=True)]
+            at = [rng.randrange(40) for _ in range(80)], [rng.randrange(40) for _ in range(80)]
+            both = a + b
+            i, j = [*at[0], *range(40)], [*(40 + k for k in at[1]), *range(40, 80)]
+            assert lines.alike_pairs(both, i, j).tolist() == [lines.alike(both[p], both[q]) for p, q in zip(i, j, strict=True)]
+
+
+def test_keys_that_come_twice_stay_and_others_mostly_go(spark):
+    rng = random.Random(12)
+    keys = [[rng.getrandbits(64) - 2**63 for _ in range(8)] for _ in range(500)]
+    for k in range(0, 60, 2):
+        keys[k][0] = keys[k + 1][3]
+    for own in keys[60:80]:
+        own[1] = 2**63 - 1
+    known = spark.createDataFrame([(k, i, 10, i) for i, k in enumerate(keys)], "keys array<long>, a long, size int, fp long").repartition(5)
+    want = Counter(k for own in keys for k in own)
+    got = Counter(r["g"] for r in lines._met(known).collect())
+    assert all(got[k] == n for k, n in want.items() if n > 1)
+    assert sum(got.values()) < 0.1 * 4000
+    assert lines._met(known.where("a < 0")).count() == 0
+
+
+def test_texts_of_no_candidate_are_kept_out_before_the_shuffle(spark):
+    known = spark.range(1000).selectExpr("xxhash64(id) a", "cast(cast(id as string) as binary) item", "10 size", "id fp", "cast(id as string) norm")
+    some = common.stage(known.where("fp < 20").selectExpr("fp % 5 g", "a", "size", "fp"))
+    texts = lines._texts(common.stage(known), some)
+    assert sorted(len(r["also"]) for r in texts.collect()) == [1] * 20
+    plan = [x for x in texts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(plan) == 2 and "__slot" in plan[1] and len(plan[1]) - len(plan[1].lstrip(" :+-")) > len(plan[0]) - len(plan[0].lstrip(" :+-"))
+
+
 def test_long_lines_are_compared_by_characters_too():
     rng = random.Random(15)
     words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(1000)]
