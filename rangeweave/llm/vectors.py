@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeweave.llm.common import components, stage, tune, unstage
+from rangeweave.llm.common import components, mix64, stage, tune, unstage
 
 LEAST = 0.9
 EPSILON = 1e-4
@@ -38,6 +38,8 @@ REACH = 1.96
 BLOCK = 1000
 #: Lines projected on at a time.
 LINES = 4096
+#: Numbers of vectors that directions are made once for.
+HELD = 1 << 20
 #: Costs of projecting a number, of an end of a line that a vector is in, of a collision and of a verified pair.
 NUMBER_COST, END_COST, COLLISION_COST, PAIR_COST = 1e-4, 1.0, 1.0, 20.0
 #: Signs that near-coincident vectors are looked for by.
@@ -89,15 +91,18 @@ def _directions(dim: int, count: int, seed: int) -> np.ndarray:
 
 def unit_rows(column: pa.Array) -> list[np.ndarray | None]:
     """Unit vectors in double precision; None for those that are null, empty, zero or not finite."""
-    out = []
-    for x in column:
-        v = None
-        if x.is_valid and len(x.values) and not x.values.null_count:
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            top = np.abs(v).max()
-            v = v / top if np.isfinite(top) and top > 0 else None
-            v = None if v is None else v / np.sqrt(v @ v)
-        out.append(v)
+    out: list[np.ndarray | None] = [None] * len(column)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    starts, flat = np.cumsum(sizes) - sizes, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        x = flat[starts[own, None] + np.arange(size)]
+        top = np.abs(x).max(axis=1)  # not a number where a component is null or none
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good, None]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        for k, v in zip(own[good].tolist(), x, strict=True):
+            out[k] = v
     return out
 
 
@@ -184,18 +189,29 @@ def _balls(rows: DataFrame, vec_type: str, epsilon: float) -> DataFrame:
 def _ends(balls: DataFrame, plan: dict[int, tuple[int, float, float, int]], vec_type: str) -> DataFrame:
     """Rows (line, rid, value): the lines on which a ball's centre is beyond the cut. Lines of one dimension and end have one number."""
 
+    def project(rid: np.ndarray, x: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+        lines, cut, _, _ = plan[dim]
+        for low in range(0, lines, LINES):
+            ways = _directions(dim, min(LINES, lines - low), 1000 + low).astype(np.float32)
+            for top in range(0, len(x), BLOCK):
+                value = x[top : top + BLOCK] @ ways
+                at = np.flatnonzero((value >= cut) | (value <= -cut))
+                i, j = np.divmod(at, value.shape[1])
+                value = value.ravel()[at]
+                line = ((low + j) * 2 + (value < 0)) << 20 | dim
+                yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(rid[top + i]), pa.array(np.abs(value))], names=["line", "rid", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by dimension: as many vectors as the directions are made once for
         for b in batches:
             units, rid = unit_rows(b.column(1)), b.column(0).to_numpy()
             for dim in sorted({len(v) for v in units}):
                 own = np.array([i for i, v in enumerate(units) if len(v) == dim])
-                x, (lines, cut, _, _) = np.stack([units[i] for i in own]).astype(np.float32), plan[dim]
-                for low in range(0, lines, LINES):
-                    value = x @ _directions(dim, min(LINES, lines - low), 1000 + low).astype(np.float32)
-                    i, j = np.nonzero(np.abs(value) >= cut)
-                    value = value[i, j]
-                    line = ((low + j.astype(np.int64)) * 2 + (value < 0)) << 20 | dim
-                    yield pa.RecordBatch.from_arrays([pa.array(line), pa.array(rid[own[i]]), pa.array(np.abs(value))], names=["line", "rid", "value"])
+                held.setdefault(dim, []).append((rid[own], np.stack([units[i] for i in own]).astype(np.float32)))
+                if sum(len(r) for r, _ in held[dim]) * dim >= HELD:
+                    yield from project(*map(np.concatenate, zip(*held.pop(dim), strict=True)), dim)
+        for dim in sorted(held):
+            yield from project(*map(np.concatenate, zip(*held[dim], strict=True)), dim)
 
     return balls.select("rid", "vec").mapInArrow(run, "line long, rid long, value float")
 
@@ -241,12 +257,49 @@ def _collisions(ends: DataFrame, plan: dict[int, tuple[int, float, float, int]])
             d += 1
             if size > 1 << 20 or not len(at):
                 i, j = np.concatenate(heads), np.concatenate(tails)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(np.zeros(len(i), dtype=np.int32) + least_needed)], names=["a", "b", "need"])
+                if len(i):
+                    yield packed(np.minimum(i, j), np.maximum(i, j))
                 heads, tails, size = [], [], 0
 
-    least_needed = min((x[3] for x in plan.values()), default=2)
-    met = rows.repartition("g").sortWithinPartitions("g", "value").mapInArrow(run, "a long, b long, need int")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+    def packed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Pairs by parts that follow from them, as bytes: they are many, and few stay."""
+        part = (mix64(mix64(a.view(np.uint64)) ^ b.view(np.uint64)) >> np.uint64(52)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = pa.array((np.append(heads, len(part)) * 16).astype(np.int32))
+        data = pa.Array.from_buffers(pa.binary(), len(heads), [None, ends.buffers()[1], pa.py_buffer(np.stack([a[order], b[order]], axis=1))])
+        return pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int32)), data], names=["part", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def ready() -> pa.RecordBatch:
+            a, b = np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2).T
+            name = mix64(mix64(a.view(np.uint64)) + b.view(np.uint64))
+            order = np.argsort(name)
+            same = name[order[1:]] == name[order[:-1]]
+            order = order[np.append(same, False) | np.append(False, same)]  # most pairs collide once
+            a, b = a[order], b[order]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            heads = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+            heads = heads[np.diff(np.append(heads, len(a))) >= needed]
+            return pa.RecordBatch.from_arrays([pa.array(a[heads]), pa.array(b[heads])], names=["a", "b"])
+
+        for x in batches:
+            for p, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                if p != part and held:
+                    yield ready()
+                    held = []
+                part = p
+                held.append(data)
+        if held:
+            yield ready()
+
+    needed = min((x[3] for x in plan.values()), default=2)
+    met = rows.repartition("g").sortWithinPartitions("g", "value").mapInArrow(run, "part int, data binary")
+    return met.repartition("part").sortWithinPartitions("part").mapInArrow(count, "a long, b long")
 
 
 def _pairs(balls: DataFrame, vec_type: str, least: float, epsilon: float) -> DataFrame:
@@ -265,7 +318,10 @@ def _pairs(balls: DataFrame, vec_type: str, least: float, epsilon: float) -> Dat
             if not t.num_rows:
                 continue
             a, b, m, k = (t.column(c).to_numpy() for c in range(4))
-            score = np.array([u @ v for u, v in zip(unit_rows(t.column(4)), unit_rows(t.column(5)), strict=True)])
+            u, v, score = unit_rows(t.column(4)), unit_rows(t.column(5)), np.zeros(t.num_rows)
+            for dim in {len(x) for x in u}:
+                own = [i for i, x in enumerate(u) if len(x) == dim]
+                score[own] = np.einsum("ij,ij->i", np.stack([u[i] for i in own]), np.stack([v[i] for i in own]))
             single = (m == 1) & (k == 1)
             sure, maybe = np.where(single, score >= least, score >= high), ~single & (score < high) & (score >= low)
             ids, at = np.unique(np.concatenate([a[sure], b[sure]]), return_inverse=True)

@@ -14,6 +14,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -465,3 +466,26 @@ def test_queries_are_registered_and_only_the_entry_module_guards():
     assert "pipeline" in e.queries()
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert F is not None
+
+
+def test_collisions_are_counted_without_a_row_a_pair_and_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(line << 20 | 4, rid, float(x)) for line in range(30) for rid, x in zip(rng.choice(300, 60, replace=False).tolist(), rng.random(60) * 40, strict=True)]
+    df = spark.createDataFrame(rows, "line long, rid long, value float")
+    found = vectors._collisions(df, {4: (30, 0.0, 0.5, 2)})
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    met: dict = {}
+    for line in range(30):
+        own = [(r, np.float32(x)) for k, r, x in rows if k == line << 20 | 4]
+        for i, (p, x) in enumerate(own):
+            for q, y in own[i + 1 :]:
+                if abs(x - y) <= np.float32(0.5):
+                    met[min(p, q), max(p, q)] = met.get((min(p, q), max(p, q)), 0) + 1
+    want = sorted(k for k, n in met.items() if n >= 2)
+    assert sorted(map(tuple, found.collect())) == want and want
+
+
+def test_unit_rows_of_odd_and_plain_vectors():
+    rows = [[3.0, 4.0], None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1e300, 1e300], [2.0], [1e-300, 0.0]]
+    got = vectors.unit_rows(pa.array([[9.0], *rows], pa.list_(pa.float64())).slice(1))
+    assert [None if v is None else v.round(12).tolist() for v in got] == [[0.6, 0.8], None, None, None, None, None, None, [round(0.5**0.5, 12)] * 2, [1.0], [1.0, 0.0]]
