@@ -32,8 +32,10 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from rangeweave.llm.common import tune
 
 _NEVER = 1 << 60
-#: Entries of the memo of pre-tokens and of pairs in one Python worker; beyond, the memo starts anew.
-MEMO = 400_000
+#: Entries of the memo of pre-tokens and of pairs in one Python worker (some 150 MB); beyond, the memo starts anew.
+MEMO = 200_000
+#: Code points looked at together when the tables of characters are made.
+SPAN = 1 << 13
 
 
 def byte_letters() -> list[str]:
@@ -217,15 +219,30 @@ class Tables:
     """
 
     def __init__(self):
-        every = "".join([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
-        unknown = regex.findall(r"\p{Cn}", every)
-        kinds = [(x, unicodedata.category(x)) for x in every]
         self.rare: set[str] = set()
-        self.letters, self.numbers = (self._class(kind, {x for x, k in kinds if k[0] == kind}, every) for kind in "LN")
-        lower, nfc = normalizers.Lowercase(), normalizers.NFC()
-        new = {x for x, k in kinds if k == "Cn"} - set(unknown)
-        self.lower = {ord(x): y for x in new if (y := lower.normalize_str(x)) != x.lower()}
-        odd = set()
+        self.lower: dict[int, str] = {}
+        lower, self.nfc = normalizers.Lowercase(), normalizers.NFC()
+        splits = {kind: pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed", invert=True) for kind in "LN"}
+        more, less = ({kind: [] for kind in splits} for _ in range(2))
+        for low in range(0, 0x110000, SPAN):  # a worker never holds all characters
+            every = "".join([chr(c) for c in range(low, low + SPAN) if not 0xD800 <= c < 0xE000])
+            kinds = [(x, unicodedata.category(x)) for x in every]
+            for kind, split in splits.items():
+                own = set(regex.findall(rf"\p{{{kind}}}", every))
+                for x in sorted(own ^ {x for x, k in kinds if k[0] == kind}):
+                    known = bool(split.pre_tokenize_str(x))
+                    if known != (x in own):
+                        (more if known else less)[kind].append(x)
+                        self.rare.add(x)
+            new = {x for x, k in kinds if k == "Cn"}.difference(regex.findall(r"\p{Cn}", every))
+            self.lower |= {ord(x): y for x in new if (y := lower.normalize_str(x)) != x.lower()}
+            self.rare |= self._odd(kinds)
+        self.rare |= set(map(chr, self.lower))
+        self.letters, self.numbers = (self._class(kind, more[kind], less[kind]) for kind in splits)
+
+    def _odd(self, kinds: list[tuple[str, str]]) -> set[str]:
+        """Those of some characters (and what they are made of) that the library orders or composes differently."""
+        odd, nfc = set(), self.nfc
         for x, k in kinds:
             if k[0] == "M" and unicodedata.combining(x):
                 # Marks of the lowest and highest classes before and after show where x is put.
@@ -237,21 +254,10 @@ class Tables:
                 text = unicodedata.normalize("NFD", x)
                 if nfc.normalize_str(text) != unicodedata.normalize("NFC", text):
                     odd |= {x, *text}
-        self.rare |= odd | set(map(chr, self.lower))
-        self.nfc = nfc
+        return odd
 
-    def _class(self, kind: str, python: set[str], every: str) -> str:
+    def _class(self, kind: str, more: list[str], less: list[str]) -> str:
         """A set expression for what the library takes to be of this kind, without its brackets."""
-        own = set(regex.findall(rf"\p{{{kind}}}", every))
-        split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "removed", invert=True)
-        more, less = [], []
-        for x in sorted(own ^ python):
-            known = bool(split.pre_tokenize_str(x))
-            if known and x not in own:
-                more.append(x)
-            elif not known and x in own:
-                less.append(x)
-        self.rare.update(more, less)
         span = lambda xs: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _runs(xs))
         return f"[\\p{{{kind}}}{span(more)}]" + (f"--[{span(less)}]" if less else "")
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
@@ -678,3 +679,14 @@ def test_slices_of_a_text_change_nothing(monkeypatch):
         assert codec.encode(text) == want
         state = codec.decoder()
         assert "".join(state.feed(x) for x in codec.parts(text)) + state.end() == library.decode(want, skip_special_tokens=False)
+
+
+def test_tables_of_characters_are_made_in_little_memory():
+    """Lists of all characters took a worker beyond 350 MB, and two of them an executor beyond its own."""
+    tracemalloc.start()
+    try:
+        own = bpe.Tables()
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+    assert own.rare == bpe.tables().rare and own.has_rare("՘") and not own.has_rare("aä一")
