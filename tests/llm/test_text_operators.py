@@ -690,3 +690,14 @@ def test_tables_of_characters_are_made_in_little_memory():
     finally:
         tracemalloc.stop()
     assert own.rare == bpe.tables().rare and own.has_rare("՘") and not own.has_rare("aä一")
+
+
+def test_strangers_that_share_a_common_run_are_no_candidates(spark):
+    """Of 64 bits one pair of strangers in 200 passed, and with a large table each line of a common key had such a partner."""
+    rng = random.Random(31)
+    texts = [f"{sentence(rng, 40, 5000)} notebook whatever absolute {sentence(rng, 40, 5000)}" for _ in range(600)]
+    rows = common.stage(lines._hashed(documents(spark, texts + [texts[0] + " x"]), "doc_id", "text", 1))
+    keyed = lines._met(rows.where("keys is not null"))
+    assert keyed.groupBy("g").count().agg(F.max("count")).first()[0] >= 600
+    assert lines._candidates(keyed, lines.SIMILARITY, lines.SPREAD).select("a").distinct().count() < 200
+    assert lines.links(rows).count() == 1
