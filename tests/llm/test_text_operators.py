@@ -693,7 +693,7 @@ def test_tables_of_characters_are_made_in_little_memory():
 
 
 def test_strangers_that_share_a_common_run_are_no_candidates(spark):
-    """Of 64 bits one pair of strangers in 200 passed, and with a large table each line of a common key had such a partner."""
+    """With 64 bits 587 of these lines had a partner that passed."""
     rng = random.Random(31)
     texts = [f"{sentence(rng, 40, 5000)} notebook whatever absolute {sentence(rng, 40, 5000)}" for _ in range(600)]
     rows = common.stage(lines._hashed(documents(spark, texts + [texts[0] + " x"]), "doc_id", "text", 1))
