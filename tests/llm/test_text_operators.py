@@ -1,5 +1,6 @@
 """Line dedup, substring dedup, SimHash, language ID, mixing, BPE: small tables against brute force."""
 
+import glob
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from conftest import DATA, rows_of
@@ -701,3 +703,70 @@ def test_strangers_that_share_a_common_run_are_no_candidates(spark):
     assert keyed.groupBy("g").count().agg(F.max("count")).first()[0] >= 600
     assert lines._candidates(keyed, lines.SIMILARITY, lines.SPREAD).select("a").distinct().count() < 200
     assert lines.links(rows).count() == 1
+
+
+def test_pairs_that_cost_more_than_their_limit_are_given_up(monkeypatch):
+    """Strangers were compared to their ends, 2,000 columns."""
+    rng = random.Random(41)
+    strangers = ["".join(rng.choice("abcdefghijklmnop") for _ in range(2000)) for _ in range(16)]
+    near = ["".join(rng.choice("xyz") if rng.random() < 0.1 else c for c in t) for t in strangers]
+    columns, real = [], np.packbits
+
+    def packbits(x, **options):
+        columns.append(x.shape[0] if x.ndim == 3 else 0)
+        return real(x, **options)
+
+    monkeypatch.setattr(lines.np, "packbits", packbits)
+    assert not lines.within(strangers[:8], strangers[8:], [400] * 8).any()
+    assert 0 < sum(columns) < 1500
+    got = lines.within(strangers + strangers[:8], near + strangers[8:], [400] * 24)
+    monkeypatch.undo()
+    assert got.tolist() == [True] * 16 + [False] * 8
+    for n in (0, 1, 7, 48, 49, 300):
+        a = ["".join(rng.choice("ab ") for _ in range(n)) for _ in range(9)]
+        b = [t[: n // 2] + "".join(rng.choice("abc") for _ in range(rng.randrange(9))) + t[n // 2 :] for t in a[::-1]]
+        limits = [abs(len(x) - len(y)) + rng.randrange(n // 3 + 2) for x, y in zip(a, b, strict=True)]
+        want = [edits(x, y) <= k for x, y, k in zip(a, b, limits, strict=True)]
+        assert lines.within(a, b, limits).tolist() == want == [lines.distance(x, y, k) <= k for x, y, k in zip(a, b, limits, strict=True)]
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_votes_are_those_of_a_plain_count():
+    rng = random.Random(42)
+    texts = [b"", b"a", b"word " * 9000 + b"x"] + [" ".join(rng.choice(("a", "bcd", "longer" * 5)) + str(rng.randrange(50)) for _ in range(n)).encode() for n in (1, 16, 17, 18, 34, 35, 5000)]
+    words = lines.Words(texts)
+    for low, high in ((0, 128), (128, 256)):
+        hashes = common.mix64(words.hash[:, None] ^ lines._SALTS[low // 64 : high // 64]).view(np.uint8)
+        votes = np.unpackbits(hashes, axis=1, bitorder="little") * 2 * np.minimum(words.size, lines.HEAVY)[:, None]
+        own = [np.packbits(votes[words.line == k].sum(axis=0) > np.minimum(words.size, lines.HEAVY)[words.line == k].sum(), bitorder="little") for k in range(len(texts))]
+        assert (lines.line_hashes(texts, high, low_bit=low) == np.array(own)).all()
+
+
+def test_only_the_bytes_of_long_words_go_through_the_roller(monkeypatch):
+    """Before, all bytes of the texts did."""
+    data = np.frombuffer(b"short words " * 100 + b"incomprehensibilities " + b"short words " * 100 + b"antidisestablishmentarianism", dtype=np.uint8)
+    starts, ends = common.word_spans(data)
+    long, seen, real = common.Roller(5), [], common.Roller.words
+    want = real(long, data, starts, ends)
+    monkeypatch.setattr(common.Roller, "words", lambda self, data, *a: seen.append(len(data)) or real(self, data, *a))
+    got = common.word_hashes(data, starts, ends, long)
+    assert seen == [len("incomprehensibilities") + len("antidisestablishmentarianism")]
+    assert (got == want)[ends - starts > 16].all()
+
+
+def test_hashes_are_staged_without_a_dictionary_and_texts_not_sorted(spark):
+    docs = documents(spark, ["a line of some words\nand one more of them", "a line of some words\nbut another end"])
+    rows = common.stage(lines._hashed(docs, "doc_id", "text", 1), dictionary=False)
+    files = glob.glob(rows.staged_at.removeprefix("file://") + "/*.parquet")
+    columns = [pq.read_metadata(f).row_group(0).column(k) for f in files for k in range(10) if pq.read_metadata(f).num_rows]
+    assert columns and not any("DICTIONARY" in e for c in columns for e in c.encodings)
+    plan = lines.report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
